@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import prepare_queries
+from . import metric_queries, prepare_queries, projection_queries  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 
