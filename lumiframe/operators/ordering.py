@@ -17,37 +17,49 @@ from pyspark.sql import functions as F
 
 from ..functions.sizes import small_or_shuffled
 
-BLOCK = "order_block"
+BLOCK = "order_block_"
 SAMPLE_PER_BLOCK = 32
 MAX_BLOCKS = 512
 
 
-def _default_blocks(df: DataFrame) -> int:
-    return min(MAX_BLOCKS, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+def _key_columns(columns: Sequence[str | Column]) -> list[Column]:
+    return [(F.col(c) if isinstance(c, str) else c).alias(f"k{i}") for i, c in enumerate(columns)]
 
 
-def order_block(df: DataFrame, columns: Sequence[str | Column], blocks: int | None = None) -> Column:
-    """Expression numbering blocks of ``df`` along ascending ``columns``.
+def cut_points(df: DataFrame, columns: Sequence[str | Column], blocks: int | None = None) -> list[Column]:
+    """Keys that cut ``df`` into blocks along ascending ``columns``; none for a small table.
 
-    Cut points come from a bottom-k hash sample (a bounded number of key rows).
-    The sample decides the balance only; any cut points give exact results.
+    They come from a bottom-k hash sample, a bounded number of key rows. The sample
+    decides the balance only; any cut points give exact results. Without a wish for
+    ``blocks``, a table that fits into the sample is not cut.
     """
-    blocks = blocks or _default_blocks(df)
+    wished = blocks is not None
+    blocks = blocks or min(MAX_BLOCKS, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     if blocks <= 1:
-        return F.lit(0)
-    names = [f"k{i}" for i in range(len(columns))]
-    keys = df.select([(F.col(c) if isinstance(c, str) else c).alias(n) for c, n in zip(columns, names)])
-    sample = keys.orderBy(F.xxhash64(*names)).limit(SAMPLE_PER_BLOCK * blocks).orderBy(*names).collect()
+        return []
+    keys = df.select(_key_columns(columns))
+    bound = SAMPLE_PER_BLOCK * blocks
+    sample = keys.orderBy(F.xxhash64(*keys.columns)).limit(bound).orderBy(*keys.columns).collect()
+    if len(sample) < bound and not wished:
+        return []
     step = max(1, len(sample) // blocks)
-    cuts = sample[step::step]
-    if not cuts:
-        return F.lit(0)
     fields = keys.schema.fields
-    literals = [
-        F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(cut, fields)]) for cut in cuts
+    return [
+        F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(cut, fields)]) for cut in sample[step::step]
     ]
-    row = F.struct(*[(F.col(c) if isinstance(c, str) else c).alias(n) for c, n in zip(columns, names)])
-    return F.size(F.filter(F.array(*literals), lambda cut: cut <= row))
+
+
+def block_of(columns: Sequence[str | Column], cuts: list[Column]) -> Column:
+    """Number of the block a row falls into."""
+    if not cuts:
+        return F.lit(0)
+    row = F.struct(*_key_columns(columns))
+    return F.size(F.filter(F.array(*cuts), lambda cut: cut <= row))
+
+
+def order_block(df: DataFrame, columns: Sequence[str | Column], blocks: int | None = None) -> Column:
+    """Expression numbering blocks of ``df`` along ascending ``columns``."""
+    return block_of(columns, cut_points(df, columns, blocks))
 
 
 def running(
@@ -65,11 +77,16 @@ def running(
     sums, maxima = sums or {}, maxima or {}
     by = list(by)
     order = list(order)
+    cuts = cut_points(df, [*by, *order], blocks)
+    if not cuts:
+        whole = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        totals = {n: F.sum(v).over(whole) for n, v in sums.items()}
+        return df.withColumns(totals | {n: F.max(v).over(whole) for n, v in maxima.items()})
     tag = uuid.uuid4().hex[:8]
-    block = f"{BLOCK}_{tag}"
+    block = f"{BLOCK}{tag}"
     values = {f"{name}_{tag}": value for name, value in {**sums, **maxima}.items()}
     rows = df.withColumns({n: F.col(v) if isinstance(v, str) else v for n, v in values.items()})
-    rows = rows.withColumn(block, order_block(rows, [*by, *order], blocks))
+    rows = rows.withColumn(block, block_of([*by, *order], cuts))
 
     total = [F.sum(f"{n}_{tag}").alias(f"{n}_{tag}") for n in sums]
     total += [F.max(f"{n}_{tag}").alias(f"{n}_{tag}") for n in maxima]

@@ -54,25 +54,28 @@ def train_sizes(counts: dict, fraction: float) -> dict:
 
 def _hash_order(key: str, seed: int) -> tuple[dict[str, Column], Column]:
     h = hash32(seed, F.col(key))
-    return {"order_hash": h, "order_key": F.col(key)}, F.shiftright(h, 32 - HISTOGRAM_BITS)
+    return {"order_hash_": h, "order_key_": F.col(key)}, F.shiftright(h, 32 - HISTOGRAM_BITS)
 
 
-def _compare_with_cuts(df: DataFrame, label: str, order: dict[str, Column], cuts: DataFrame) -> Column:
+def _beyond(order: list[str], cut) -> Column:
+    """Whether a row lies behind a cut, comparing the order columns one after the other."""
+    test = F.lit(False)
+    for name in reversed(order):
+        value = F.lit(cut[name])
+        test = (F.col(name) > value) | ((F.col(name) == value) & test)
+    return test
+
+
+def _cuts_passed(label: str, order: list[str], cuts: DataFrame) -> Column:
     """Number of cuts of the row's class that lie before the row."""
-    found = require_small(cuts, "cuts")  # classes x cuts rows
-    kind = cuts.schema
-    row = F.struct(*[c.alias(n) for n, c in order.items()])
-    result = None
-    for value in dict.fromkeys(r[label] for r in found):
-        literals = [
-            F.struct(*[F.lit(r[n]).cast(kind[n].dataType).alias(n) for n in order])
-            for r in found
-            if r[label] == value
-        ]
-        passed = F.size(F.filter(F.array(*literals), lambda cut: cut < row))
-        test = F.col(label).eqNullSafe(F.lit(value))
-        result = F.when(test, passed) if result is None else result.when(test, passed)
-    return F.coalesce(result, F.lit(0)) if result is not None else F.lit(0)
+    by_class: dict = {}
+    for r in require_small(cuts, "cuts"):  # classes x cuts rows
+        by_class.setdefault(r[label], []).append(r)
+    result = F.when(F.lit(False), 0)
+    for value, found in by_class.items():
+        passed = sum((_beyond(order, r).cast("int") for r in found), F.lit(0))
+        result = result.when(F.col(label).eqNullSafe(F.lit(value)), passed)
+    return result.otherwise(0)
 
 
 def stratified_split(
@@ -87,8 +90,9 @@ def stratified_split(
     wanted = [(c, 0, n) for c, n in sizes.items() if n > 0]
     cuts = cut_values(df, label, order, bucket, wanted)
     empty = [c for c, n in sizes.items() if n == 0]
-    inside = _compare_with_cuts(df, label, order, cuts) == 0
-    return df.withColumn(out, inside & ~F.col(label).isin(empty) if empty else inside)
+    inside = _cuts_passed(label, list(order), cuts) == 0
+    inside = inside & ~F.col(label).isin(empty) if empty else inside
+    return df.withColumns(order).withColumn(out, inside).drop(*order)
 
 
 def fold_sizes(counts: dict, k: int) -> dict:
@@ -108,7 +112,7 @@ def stratified_folds(
     if max(counts.values()) < k:
         raise ValueError(f"no class has {k} rows")
     if seed is None:
-        order = {"order_key": F.col(key)}
+        order = {"order_key_": F.col(key)}
         bucket = order_block(df, [key])
     else:
         order, bucket = _hash_order(key, seed)
@@ -124,8 +128,8 @@ def stratified_folds(
         for c, per_fold in fold_sizes(counts, k).items()
     }
     cuts = cut_values(df, label, order, bucket, wanted)
-    fold = _compare_with_cuts(df, label, order, cuts)
+    fold = _cuts_passed(label, list(order), cuts)
     for c, n in skipped.items():
         if n:
             fold = fold + F.when(F.col(label).eqNullSafe(F.lit(c)), n).otherwise(0)
-    return df.withColumn(out, fold.cast("int"))
+    return df.withColumns(order).withColumn(out, fold.cast("int")).drop(*order)
