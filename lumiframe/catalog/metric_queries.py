@@ -24,7 +24,7 @@ report AS (SELECT {by}, label, coalesce(support, 0) AS support, coalesce(hits, 0
   CASE WHEN support > 0 THEN hits / support ELSE 0 END AS recall,
   coalesce(2 * hits / (support + coalesce(predicted, 0)), 0) AS f1
   FROM sup FULL JOIN prd USING ({by}, label)),
-metrics AS (SELECT {by}, sum(hits) / sum(support) AS acc, avg(recall) FILTER (support > 0) AS balanced_accuracy,
+metrics AS (SELECT {by}, sum(hits) / sum(support) AS acc, list_sum(list(recall ORDER BY label) FILTER (support > 0)) / count(*) FILTER (support > 0) AS balanced_accuracy,
   sum(precision * support) / sum(support) AS precision, sum(recall * support) / sum(support) AS recall,
   sum(f1 * support) / sum(support) AS f1, sum(support)::BIGINT AS n FROM report GROUP BY {by})"""
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..constants import METADATA_COLUMNS, MISSING_TOKENS, TEXT_METADATA
+from ..operators.select import require_same_columns
 
 
 def quoted(name: str) -> str:
@@ -60,30 +61,49 @@ def wide_schema(columns: Sequence[str], text: Sequence[str] = TEXT_METADATA) ->
     return T.StructType([T.StructField(c, kinds.get(c, T.DoubleType())) for c in columns])
 
 
-def read_wide(
-    spark: SparkSession,
-    path: str,
-    metadata: Sequence[str] = METADATA_COLUMNS,
-    text: Sequence[str] = TEXT_METADATA,
-    fmt: str = "csv",
-) -> tuple[DataFrame, DataFrame]:
-    """Packed table and axis of a wide CSV or Parquet table.
+def header_of(spark: SparkSession, path: str) -> list[str]:
+    """Column names of a CSV table; reads its header only."""
+    return spark.read.option("header", True).csv(path).columns
 
-    Only the header of a CSV file is read to learn the columns; the scan then has
-    a declared schema. A number cell that is no number becomes NULL.
-    """
-    if fmt == "parquet":
-        return pack(spark.read.parquet(path), metadata)
-    columns = spark.read.option("header", True).csv(path).columns
-    schema = wide_schema(columns, text)
+
+def scan_csv(spark: SparkSession, path: str, columns: Sequence[str], text: Sequence[str] = TEXT_METADATA) -> DataFrame:
+    """Scan with a declared schema. A number cell that is no number becomes NULL."""
     df = (
         spark.read.option("header", True)
         .option("mode", "PERMISSIVE")
         .option("enforceSchema", False)
         .option("maxColumns", max(20480, len(columns) + 1))
-        .schema(schema)
+        .schema(wide_schema(columns, text))
         .csv(path)
     )
     texts = {c for c in columns if c in set(text)}
-    df = df.select([cleaned(F.col(quoted(c))).alias(c) if c in texts else F.col(quoted(c)) for c in columns])
-    return pack(df, metadata)
+    return df.select([cleaned(F.col(quoted(c))).alias(c) if c in texts else F.col(quoted(c)) for c in columns])
+
+
+def read_wide(
+    spark: SparkSession,
+    path: str,
+    metadata: Sequence[str] = METADATA_COLUMNS,
+    text: Sequence[str] = TEXT_METADATA,
+    fmt: str = "csv",
+) -> tuple[DataFrame, DataFrame]:
+    """Packed table and axis of a wide CSV or Parquet table."""
+    if fmt == "parquet":
+        return pack(spark.read.parquet(path), metadata)
+    return pack(scan_csv(spark, path, header_of(spark, path), text), metadata)
+
+
+def read_for_scoring(
+    spark: SparkSession,
+    path: str,
+    example: str,
+    metadata: Sequence[str] = METADATA_COLUMNS,
+    text: Sequence[str] = TEXT_METADATA,
+) -> tuple[DataFrame, DataFrame]:
+    """Packed table and axis of new rows whose columns must be those of an example file.
+
+    The order of the columns is free; the array follows the example.
+    """
+    expected = header_of(spark, example)
+    df = scan_csv(spark, path, header_of(spark, path), text)
+    return pack(require_same_columns(df, expected).select([F.col(quoted(c)) for c in expected]), metadata)

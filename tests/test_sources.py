@@ -15,7 +15,7 @@ from lumiframe.sources import sinks
 from lumiframe.sources.importance import read_importance_files
 from lumiframe.sources.runs import append_rows, read_run_store, read_split_json
 from lumiframe.sources.settings import read_settings
-from lumiframe.sources.wide import pack, read_wide, unpack
+from lumiframe.sources.wide import pack, read_for_scoring, read_wide, unpack
 
 WAVES = ["399.5", "1850", "2500.25"]
 
@@ -223,3 +223,17 @@ def test_latest_child_wins_a_tie(spark):
     so_far = [r["best_run_id"] for r in res.best_so_far(runs, "acc").orderBy("start_ms").collect()]
     assert so_far == ["a", "b", "b"]
     assert res.best_row(runs, "acc", False, ["run_id"]).head()["run_id"] == "d"
+
+
+def test_new_rows_follow_the_example(spark, tmp_path):
+    example = wide_file(tmp_path / "e.csv", [sample(0)])
+    columns = [*METADATA_COLUMNS, *WAVES][::-1]
+    values = sample(1, **{"399.5": 1, "1850": 2, "2500.25": 3})
+    path = tmp_path / "n.csv"
+    path.write_text(",".join(columns) + "\n" + ",".join(str(values.get(c, "")) for c in columns) + "\n")
+    df, axis = read_for_scoring(spark, str(path), example)
+    assert df.head()["spectrum"] == [1.0, 2.0, 3.0] and df.head()["id"] == "s1"
+    assert [r["wavenumber"] for r in axis.orderBy("pos").collect()] == [399.5, 1850.0, 2500.25]
+    path.write_text(",".join(columns[1:]) + "\n")
+    with pytest.raises(ValueError, match="columns differ"):
+        read_for_scoring(spark, str(path), example)
