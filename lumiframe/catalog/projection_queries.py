@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators.backproject import back_project, band_series, first_weights, position_importance
+from ..operators.encode import encode
 from ..operators.neighbours import nearest_in_class
 from ..operators.pls import PLS, cross_products
 from ..operators.scale import column_statistics
 from ..operators.smote import class_sizes, synthetic_rows
-from ..operators.encode import encode
+from ..plans.search import permuted_rows
 from .registry import query, rounded
 from .views import AXIS_SQL, SPECTRA_SQL, TABULAR_SQL, axis, coded_spectra, h_sql, spectra, tabular, u_sql
 
@@ -212,11 +213,32 @@ def smote_rows(spark, sf):
     ).withColumn("value", rounded("value"))
 
 
-@query()
+@query(
+    f"""WITH {TABULAR_SQL},
+numbered AS (SELECT key, code, row_number() OVER (PARTITION BY code ORDER BY {h_sql("'52:'||key")}, key) - 1 AS no FROM tabular),
+sizes AS (SELECT code AS c, count(*) AS n FROM tabular GROUP BY 1),
+need AS (SELECT c, n, unnest(range(((SELECT max(n) FROM sizes) - n)::BIGINT)) AS j FROM sizes),
+drawn AS (SELECT c, j, {h_sql(_draw('b'))} % n AS no, {u_sql(_draw('u'))} AS u FROM need)
+SELECT c AS code, count(*) AS n, count(DISTINCT key) AS bases, round(avg(u), 4) AS mean_u
+FROM drawn JOIN numbered ON c = code AND drawn.no = numbered.no GROUP BY 1"""
+)
 def smote_tabular(spark, sf):
-    """M7 at volume; brute force in SQL is quadratic there, the tests cover it on a small fixture."""
+    """M7 at volume. SQL checks the draws; the neighbours are checked on smaller tables, where all pairs are cheap."""
     rows = encode(tabular(spark, sf), "class")[0].select("key", "code", F.array("x0", "x1", "x2").alias("spectrum"))
-    made = synthetic_rows(rows, "key", "spectrum", "code")
+    made = synthetic_rows(rows, "key", "spectrum", "code").where(F.col("neighbour").isNotNull())
     return made.groupBy("code").agg(
         F.count("*").alias("n"), F.countDistinct("base").alias("bases"), rounded(F.avg("u"), 4).alias("mean_u")
     )
+
+
+@query(
+    f"""WITH {TABULAR_SQL},
+own AS (SELECT key, row_number() OVER (ORDER BY {h_sql("'52:own:'||key")}, key) AS no FROM tabular),
+donors AS (SELECT key AS donor, r AS repeat, row_number() OVER (PARTITION BY r ORDER BY {h_sql("'52:'||r||':'||key")}, key) AS no
+           FROM tabular, range(2) t(r))
+SELECT key, repeat::INT AS repeat, donor FROM own JOIN donors USING (no)"""
+)
+def permutation_donors(spark, sf):
+    """Which row each row takes a value from, a permutation of all rows per repeat."""
+    rows = tabular(spark, sf).select("key", F.array("key").alias("own"))
+    return permuted_rows(rows, "key", "own", 2, 52).select("key", "repeat", F.col("donor")[0].alias("donor"))

@@ -8,6 +8,9 @@ from ..functions import text
 from ..functions.hashing import uniform
 from ..operators import results as res
 from ..operators import settings as st
+from ..operators.ordering import competition_rank
+from ..plans import shaping
+from ..sources.runs import from_split_json, to_split_json
 from .registry import query, rounded
 from .views import PATHS_SQL, RUN_LOG_SQL, SETTINGS_SQL, configs, paths, run_log, table, u_sql
 
@@ -234,14 +237,50 @@ def top_trials(spark, sf):
     return res.top_trials(rows, ["search"], "trial").select("search", "trial", "rank_test_score")
 
 
+@query(
+    f"""WITH {_TRIALS_SQL},
+lists AS (SELECT search AS run_id, list(r ORDER BY trial) AS ranks, list(m ORDER BY trial) AS means,
+                 list(trial % 3 ORDER BY trial) AS depths FROM trials GROUP BY 1)
+SELECT run_id, len(ranks)::INT AS n_trials, (list_position(ranks, 1) - 1)::INT AS best_index,
+  round(means[list_position(ranks, 1)], 6) AS best_score,
+  '{{"max_depth":"'||depths[list_position(ranks, 1)]||'"}}' AS best_params, list_sum(ranks)::BIGINT AS rank_sum,
+  'Random Forest (GridSearchCV)' AS model, run_id % 7 / 10.0::DOUBLE AS accuracy_score FROM lists"""
+)
+def cross_validation_summary(spark, sf):
+    """The trials of each run as arrays, its best trial and parameters."""
+    scores = _split_scores(spark, sf).withColumnRenamed("search", "run_id")
+    trials = res.summarise_trials(scores, ["run_id"], "trial", "score").withColumn(
+        "params", F.create_map(F.lit("max_depth"), (F.col("trial") % 3).cast("string"))
+    )
+    log = scores.select("run_id").distinct().select(
+        "run_id",
+        F.lit("group_fam").alias("target"),
+        F.lit("SERUM").alias("sample_type"),
+        F.lit(0.8).alias("train_percentage"),
+        F.lit("Random Forest").alias("model_type"),
+        F.lit("GridSearchCV").alias("search_to_use"),
+        *[(F.col("run_id") % 7 / F.lit(10.0)).alias(c) for c in ("test_acc", "f1", "recall", "precision", "acc")],
+        F.array(F.array(F.lit(1))).alias("cm"),
+    )
+    rows = shaping.cv_summary(shaping.trial_table(trials, scores, log), log)
+    return rows.select(
+        "run_id",
+        F.size("mean_test_score").alias("n_trials"),
+        "best_index",
+        rounded(F.get("mean_test_score", F.col("best_index"))).alias("best_score"),
+        F.col("Best Params").alias("best_params"),
+        F.aggregate("rank_test_score", F.lit(0).cast("long"), lambda a, r: a + r).alias("rank_sum"),
+        F.col("Model").alias("model"),
+        "accuracy_score",
+    )
+
+
 @query(
     f"""WITH {RUN_LOG_SQL} SELECT sample_type, run_id, acc,
   rank() OVER (PARTITION BY sample_type ORDER BY acc DESC)::INT AS rank FROM run_log"""
 )
 def rank_with_ties(spark, sf):
     """W3 over groups that hold a third of the rows each."""
-    from ..operators.ordering import competition_rank
-
     return competition_rank(run_log(spark, sf).select("sample_type", "run_id", "acc"), ["sample_type"], "acc", "rank")
 
 
@@ -362,8 +401,6 @@ def result_names(spark, sf):
 )
 def split_layout_round_trip(spark, sf):
     """One-row tables written as JSON split layout and read back."""
-    from ..sources.runs import from_split_json, to_split_json
-
     runs = run_log(spark, sf).select("run_id", "sample_type", "run_name", "acc")
     packed = runs.select(to_split_json(["run_id", "sample_type", "run_name", "acc"]).alias("value"))
     return from_split_json(packed, "value", "run_id bigint, sample_type string, run_name string, acc double")
