@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.arrays import unnest
 from ..operators import select as sel
 from ..operators.encode import decode, dictionary_of, encode
 from ..operators.scale import PopulationScaler, column_statistics
@@ -177,7 +178,7 @@ def scale_spectra(spark, sf):
     """Fitted on the training rows, applied to all."""
     rows = stratified_split(spectra(spark, sf), "id", "group_fam", 0.8)
     model = PopulationScaler().fit(rows.where("is_train"))
-    scaled = model.transform(rows).select("id", F.posexplode("scaled").alias("pos", "z"))
+    scaled = unnest(model.transform(rows), ["id"], "scaled", "pos", "z")
     return scaled.withColumn("z", rounded("z"))
 
 

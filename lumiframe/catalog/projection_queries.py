@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.arrays import unnest
 from ..operators.backproject import back_project, band_series, first_weights, position_importance
 from ..operators.encode import encode
 from ..operators.neighbours import nearest_in_class
@@ -83,8 +84,8 @@ SELECT id, component, round(sum(z * v), 6) + 0.0 AS score FROM z JOIN r USING (p
 def pls_scores(spark, sf):
     """M5."""
     rows = coded_spectra(spark, sf)
-    scores = PLS(k=10).fit(rows).transform(rows)
-    return scores.select("id", F.posexplode("scores").alias("component", "score")).withColumn("score", rounded("score"))
+    scores = unnest(PLS(k=10).fit(rows).transform(rows), ["id"], "scores", "component", "score")
+    return scores.withColumn("score", rounded("score"))
 
 
 @query(
@@ -129,7 +130,7 @@ def back_projection(spark, sf):
     """The spread of the scores stands for the importance."""
     rows = coded_spectra(spark, sf)
     model = PLS(k=10).fit(rows)
-    scores = model.transform(rows).select("sample_type", F.posexplode("scores").alias("component", "score"))
+    scores = unnest(model.transform(rows), ["sample_type"], "scores", "component", "score")
     importance = scores.groupBy("sample_type", "component").agg(F.var_pop("score").alias("importance"))
     top = back_project(importance, model.weights_table(spark), axis(spark), by=["sample_type"])
     return top.withColumn("importance", rounded("importance"))
@@ -208,9 +209,8 @@ FROM made JOIN long a ON a.id = base JOIN long b ON b.id = neighbour AND a.pos =
 def smote_rows(spark, sf):
     """The synthetic rows of all smaller classes."""
     rows = synthetic_rows(coded_spectra(spark, sf), "id", "spectrum", "code")
-    return rows.select(
-        "code", "j", "base", "neighbour", rounded("u").alias("u"), F.posexplode("spectrum").alias("pos", "value")
-    ).withColumn("value", rounded("value"))
+    keep = ["code", "j", "base", "neighbour", rounded("u").alias("u")]
+    return unnest(rows, keep, "spectrum", "pos", "value").withColumn("value", rounded("value"))
 
 
 @query(

@@ -73,3 +73,8 @@ def test_group_picks_are_limited_before_the_shuffle(spark, data):
 def test_metrics_count_before_the_shuffle(spark, data):
     rows = spectra(spark, data).select("group_fam", F.col("sample_type").alias("p"))
     assert "partial_count" in plan(metrics(rows, "group_fam", "p"))
+
+
+def test_projection_runs_once(spark, data):
+    assert plan(QUERIES["pls_scores"](spark, data)).count("ArrowEvalPython [") <= 1
+    assert "size(zip_with" not in plan(QUERIES["scale_spectra"](spark, data))
