@@ -100,6 +100,7 @@ DEFAULT_COMPONENTS = 10
 SMOTE_NEIGHBOURS = 5
 CV_FOLDS = 5
 SAMPLED_TRIALS = 50
+KEPT_TRIALS = 5
 PERMUTATION_REPEATS = 5
 
 # Display names of the models and searches.

@@ -81,7 +81,7 @@ def _cuts_passed(label: str, order: list[str], cuts: DataFrame) -> Column:
 def stratified_split(
     df: DataFrame, key: str, label: str, fraction: float, seed: int = DEFAULT_SEED, out: str = "is_train"
 ) -> DataFrame:
-    """Add ``out``: whether the row belongs to the training side."""
+    """Add ``out``: whether the row belongs to the training side. Keys must be unique."""
     counts = class_counts(df, label)
     sizes = train_sizes(counts, fraction)
     if fraction == 1:
@@ -107,7 +107,10 @@ def fold_sizes(counts: dict, k: int) -> dict:
 def stratified_folds(
     df: DataFrame, key: str, label: str, k: int = 5, seed: int | None = None, out: str = "fold"
 ) -> DataFrame:
-    """Add the fold 0..k-1, in hash order of ``seed`` or, without one, in key order."""
+    """Add the fold 0..k-1, in hash order of ``seed`` or, without one, in key order.
+
+    Keys must be unique.
+    """
     counts = class_counts(df, label)
     if max(counts.values()) < k:
         raise ValueError(f"no class has {k} rows")
