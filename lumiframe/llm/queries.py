@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .exact_dedup import exact_dedup
 from .simhash import simhash_components
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -15,10 +16,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Streamed through keyed state: see ``exact_dedup.exact_dedup``."""
+    return exact_dedup(spark, f"{sf_dir}/documents.parquet", "doc_id", "text")
+
+
+OP1_SQL = """
+SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
+       doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
+FROM documents
+WINDOW same AS (PARTITION BY coalesce(text, ''))
+"""
+
+
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three-word shingles, three bits: see ``simhash.simhash_components``."""
     return simhash_components(table(spark, sf_dir, "documents"), "doc_id", "text", shingle=3, max_bits=3)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op10_simhash_near_dedup,)}
-ORACLES: dict[str, str] = {}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_exact_dedup, op10_simhash_near_dedup)}
+ORACLES: dict[str, str] = {"op1_exact_dedup": OP1_SQL}
