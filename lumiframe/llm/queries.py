@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from .exact_dedup import exact_dedup
 from .simhash import simhash_components
+from .token_files import tokenize_to_files
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -29,10 +31,16 @@ WINDOW same AS (PARTITION BY coalesce(text, ''))
 """
 
 
+def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Encoded, written to shard files and read back: see ``token_files.tokenize_to_files``."""
+    tokenizer = public_tokenizers.path("word_bpe_49k.json")
+    return tokenize_to_files(table(spark, sf_dir, "documents"), tokenizer, "doc_id", "text", end_id=1)
+
+
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three-word shingles, three bits: see ``simhash.simhash_components``."""
     return simhash_components(table(spark, sf_dir, "documents"), "doc_id", "text", shingle=3, max_bits=3)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_exact_dedup, op10_simhash_near_dedup)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_exact_dedup, op4_token_files, op10_simhash_near_dedup)}
 ORACLES: dict[str, str] = {"op1_exact_dedup": OP1_SQL}

@@ -1,0 +1,86 @@
+"""Ids equal the library's, files round-trip, short documents are read alone."""
+
+import random
+import zlib
+
+import numpy as np
+import public_tokenizers
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from tokenizers import Tokenizer
+
+from lumiframe.llm import encoding
+from lumiframe.llm.token_files import Shard, tokenize_to_files, train_dictionary
+
+PATH = public_tokenizers.path("word_bpe_49k.json")
+PLAIN = Tokenizer.from_file(PATH)
+
+
+def plain(text):
+    return PLAIN.encode(text or "", add_special_tokens=False).ids
+
+
+TEXTS = [
+    "", " ", "a  b\n\nc", "It's don't 'S we'll !'s", "x<|endoftext|>y <|endoftext|>", "É é e ́x   q", "ΑΣ ΑΣ. İstanbul ſ",
+    "price: $12.50, a_b-c (ok)!!", "\x00\x1c\x85 tab\there\r\n", "naïve Größe ÀÉ straße ÿ µ ª º", "日本語 テスト 😀😀", "word " * 20000, "<| |>", "a'b", "ꙮ½²",
+]
+
+
+@pytest.mark.parametrize("text", TEXTS)
+def test_ids(text):
+    assert np.frombuffer(encoding.encoder(PATH).encode([text])[0], "<u2").tolist() == plain(text)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text(alphabet=st.sampled_from("aBzÉß́ \n\t'.,-_<|>0'sSΣ ½"), max_size=30), max_size=5))
+def test_ids_of_odd_texts(texts):
+    assert [np.frombuffer(x, "<u2").tolist() for x in encoding.encoder(PATH).encode(texts)] == [plain(t) for t in texts]
+
+
+def test_full_caches_start_again(monkeypatch):
+    monkeypatch.setattr(encoding, "WORDS", 3)
+    monkeypatch.setattr(encoding, "CHUNKS", 3)
+    monkeypatch.setattr(encoding, "TEXTS", 1)
+    own = encoding.Encoder(PATH)
+    texts = [f"word{i} other{i % 3}, Again" for i in range(20)]
+    assert [np.frombuffer(x, "<u2").tolist() for x in own.encode(texts)] == [plain(t) for t in texts]
+
+
+def expected(rows):
+    out, start = [], 0
+    for d, t in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0)):
+        ids = plain(t) + [1]
+        out.append((d, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()), start))
+        start += len(ids)
+    return out
+
+
+def test_files_round_trip(spark, tmp_path):
+    rng = random.Random(1)
+    rows = [(i * 7 % 1000 + 3, rng.choice(TEXTS) + f" {i}") for i in range(300)] + [(-5, None), (2**40, "")]
+    df = spark.createDataFrame([(t, "x", 0, d) for d, t in rows], "text string, start string, n_tokens int, doc_id bigint").repartition(5)
+    found = tokenize_to_files(df, PATH, folder=f"file://{tmp_path}/out", shards=4).collect()
+    assert [(r.doc_id, r.n_tokens, r.ids_crc32, r.start) for r in sorted(found, key=lambda r: r.start)] == expected(rows)
+    files = sorted((tmp_path / "out").glob("shard-*"))
+    assert len(files) == 4
+    one = Shard(f"file://{files[0]}")
+    assert one.document(-5).tolist() == [1] and one.document(4444444) is None
+    (tmp_path / "out" / "dictionary").write_bytes(b"another")
+    with pytest.raises(ValueError, match="another dictionary"):
+        Shard(f"file://{files[0]}")
+
+
+def test_null_and_repeated_keys(spark):
+    rows = [(None, "b"), (3, "same"), (3, "same"), (1, "x"), (None, "b")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    found = tokenize_to_files(df, PATH).collect()
+    assert [(r.doc_id, r.n_tokens, r.ids_crc32, r.start) for r in sorted(found, key=lambda r: r.start)] == expected(rows)
+
+
+def test_empty_table(spark):
+    assert tokenize_to_files(spark.createDataFrame([], "doc_id bigint, text string"), PATH).collect() == []
+
+
+def test_dictionary_of_few_samples():
+    assert train_dictionary([]) == b"" and train_dictionary([b"\x01\x00"]) == b"\x01\x00"
