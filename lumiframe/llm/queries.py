@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .exact_dedup import exact_dedup
 from .simhash import simhash_components
 from .token_files import tokenize_to_files
+from .toxicity import toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -37,10 +38,15 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenize_to_files(table(spark, sf_dir, "documents"), tokenizer, "doc_id", "text", end_id=1)
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document scored, rows with remainder 2 of 4 held out: see ``toxicity.toxicity``."""
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three-word shingles, three bits: see ``simhash.simhash_components``."""
     return simhash_components(table(spark, sf_dir, "documents"), "doc_id", "text", shingle=3, max_bits=3)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_exact_dedup, op4_token_files, op10_simhash_near_dedup)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_exact_dedup, op4_token_files, op5_toxicity, op10_simhash_near_dedup)}
 ORACLES: dict[str, str] = {"op1_exact_dedup": OP1_SQL}

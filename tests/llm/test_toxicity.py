@@ -1,0 +1,68 @@
+"""Toxicity: held-out accuracy, risk estimator, defined results for odd rows."""
+
+import zlib
+
+import numpy as np
+
+from lumiframe.llm.toxicity import fit_nnpu, grams, toxicity
+
+
+def test_grams():
+    assert grams("ab") == ["^ab$"] and "^abc" in grams("abcd") and "^abcd$" in grams("abcd")
+
+
+def test_prior_corrects_the_unlabelled_part():
+    """A feature all toxic texts have, among unlabelled texts at the prior's rate, gives scores beyond one half."""
+    rng = np.random.default_rng(0)
+    rows, positive = [], []
+    for i in range(3000):
+        toxic = i < 500 or rng.random() < 0.1
+        rows.append(np.array([0] * toxic + [1] * (rng.random() < 0.5), dtype=np.int64))
+        positive.append(i < 500)
+    bias, weights = fit_nnpu(rows, np.array(positive), 2, 0.1)
+    assert bias < -1 < 1 < bias + weights[0] and abs(weights[1]) < weights[0] / 4
+
+
+def corpus(n=600):
+    rows, labels = [], []
+    for i in range(n):
+        toxic = i % 5 == 0
+        rows.append((i, " ".join(f"word{(i * 7 + j * 13) % 50}" for j in range(30)) + (" you scumling" if toxic else "")))
+        labels.append((i, int(toxic)))
+    return rows, labels
+
+
+def test_held_out_rows_and_odd_rows(spark):
+    rows, labels = corpus()
+    odd = [(None, "scumling"), (9000, None), (9001, ""), (9001, ""), (9002, "word " * 50000 + "scumling")]
+    docs = spark.createDataFrame([(d, t, "x", 0.0) for d, t in rows + odd], "doc_id bigint, text string, label string, score double")
+    marks = spark.createDataFrame(labels + [(None, 1), (3, None), (1, 0), (5, 1)], "doc_id bigint, toxic int")
+    found = toxicity(docs, marks).collect()
+    assert len(found) == len(rows) + len(odd)
+    truth = dict(labels)
+    for r in found:
+        assert 0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3)
+        assert r.held_out == (r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 4 == 2)
+        if r.doc_id in truth:
+            assert r.predicted == truth[r.doc_id]
+    by_id = {r.doc_id: r.predicted for r in found}
+    assert by_id[None] == 1 and by_id[9000] == 0 and by_id[9001] == 0 and by_id[9002] == 1
+
+
+def test_held_out_labels_do_not_matter(spark):
+    rows, labels = corpus(200)
+    held = {d for d, _ in rows if zlib.crc32(str(d).encode()) % 4 == 2}
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    turned = [(d, 1 - t if d in held else t) for d, t in labels]
+    runs = [
+        {r.doc_id: r.score for r in toxicity(docs, spark.createDataFrame(m, "doc_id bigint, toxic int")).collect()}
+        for m in (labels, turned)
+    ]
+    assert runs[0] == runs[1]
+
+
+def test_nothing_confirmed_and_empty(spark):
+    docs = spark.createDataFrame([(1, "a")], "doc_id bigint, text string")
+    none = spark.createDataFrame([], "doc_id bigint, toxic int")
+    assert [tuple(r) for r in toxicity(docs, none).collect()] == [(1, False, 0.0, 0)]
+    assert toxicity(docs.limit(0), none).collect() == []
