@@ -62,6 +62,7 @@ def stream_groups(
     with settings(
         spark,
         spark__sql__streaming__stateStore__providerClass=ROCKSDB,
+        spark__sql__streaming__stateStore__rocksdb__allowFAllocate="false",
         spark__sql__streaming__stateStore__rocksdb__boundedMemoryUsage="true",
         spark__sql__streaming__stateStore__rocksdb__maxMemoryUsageMB=str(STATE_MEMORY_MB),
     ):
