@@ -7,7 +7,9 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from .decontaminate import leaks
 from .exact_dedup import exact_dedup
+from .quality import quality
 from .simhash import simhash_components
 from .token_files import tokenize_to_files
 from .toxicity import toxicity
@@ -32,6 +34,11 @@ WINDOW same AS (PARTITION BY coalesce(text, ''))
 """
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of document and benchmark item: see ``decontaminate.leaks``."""
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encoded, written to shard files and read back: see ``token_files.tokenize_to_files``."""
     tokenizer = public_tokenizers.path("word_bpe_49k.json")
@@ -43,10 +50,15 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document scored, rows with remainder 0 of 5 held out: see ``quality.quality``."""
+    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three-word shingles, three bits: see ``simhash.simhash_components``."""
     return simhash_components(table(spark, sf_dir, "documents"), "doc_id", "text", shingle=3, max_bits=3)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_exact_dedup, op4_token_files, op5_toxicity, op10_simhash_near_dedup)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_exact_dedup, op3_decontamination, op4_token_files, op5_toxicity, op6_quality_trees, op10_simhash_near_dedup)}
 ORACLES: dict[str, str] = {"op1_exact_dedup": OP1_SQL}
