@@ -7,6 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from . import mixing
 from .decontaminate import leaks
 from .exact_dedup import exact_dedup
 from .quality import quality
@@ -55,10 +56,15 @@ def op6_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix of their sources takes them: see ``mixing.mix``."""
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three-word shingles, three bits: see ``simhash.simhash_components``."""
     return simhash_components(table(spark, sf_dir, "documents"), "doc_id", "text", shingle=3, max_bits=3)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_exact_dedup, op3_decontamination, op4_token_files, op5_toxicity, op6_quality_trees, op10_simhash_near_dedup)}
-ORACLES: dict[str, str] = {"op1_exact_dedup": OP1_SQL}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_exact_dedup, op3_decontamination, op4_token_files, op5_toxicity, op6_quality_trees, op7_source_mixing, op10_simhash_near_dedup)}
+ORACLES: dict[str, str] = {"op1_exact_dedup": OP1_SQL, "op7_source_mixing": mixing.SQL}

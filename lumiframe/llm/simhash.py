@@ -211,25 +211,69 @@ def simhash_components(
     Equal fingerprints collapse before anything is compared, so a group of copies
     is one node however large it is.
     """
-    if not 0 <= max_bits <= 7:
-        raise ValueError("max_bits must be in 0..7")
-    scratch = Scratch(df.sparkSession, "simhash")
-    prints = scratch.table(fingerprints(df, key, text, shingle), "prints")
-    distinct = prints.groupBy("fingerprint").agg(F.min("id").alias("first"))
-    if max_bits:
-        distinct = scratch.table(distinct, "distinct")
-        edges = scratch.table(links(distinct.select("fingerprint"), max_bits), "links")
-        roots = components(edges, scratch)
-        joined = distinct.join(roots, distinct["fingerprint"] == roots["node"], "left")
-        rooted = joined.select("fingerprint", "first", F.coalesce("root", "fingerprint").alias("root"))
-        least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-        labelled = scratch.table(rooted.join(least, "root").select("fingerprint", "component_id"), "labelled")
-        scratch.drop("links", "distinct")
-    else:
-        labelled = distinct.withColumnRenamed("first", "component_id")
+    prints, labelled = _labelled(df, key, text, shingle, max_bits)
     # Copies may be a third of all rows; the side with one row for each fingerprint lets Spark split their key.
     return prints.join(labelled, "fingerprint").select(
         F.col("id").alias(key),
         F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"),
-        "component_id",
+        F.col("first").alias("component_id"),
     )
+
+
+def _labelled(df: DataFrame, key: str, text: str, shingle: int, max_bits: int) -> tuple[DataFrame, DataFrame]:
+    """(id, fingerprint) of each row, and (fingerprint, root, first) of each fingerprint.
+
+    ``root`` is one fingerprint for all that links connect, ``first`` their smallest key.
+    """
+    if not 0 <= max_bits <= 7:
+        raise ValueError("max_bits must be in 0..7")
+    scratch = Scratch(df.sparkSession, "simhash")
+    prints = scratch.table(fingerprints(df, key, text, shingle), "prints")
+    distinct = prints.groupBy("fingerprint").agg(F.min("id").alias("first"))
+    if not max_bits:
+        return prints, distinct.withColumn("root", F.col("fingerprint"))
+    distinct = scratch.table(distinct, "distinct")
+    edges = scratch.table(links(distinct.select("fingerprint"), max_bits), "links")
+    roots = components(edges, scratch)
+    joined = distinct.join(roots, distinct["fingerprint"] == roots["node"], "left")
+    rooted = joined.select("fingerprint", "first", F.coalesce("root", "fingerprint").alias("root"))
+    least = rooted.groupBy("root").agg(F.min("first").alias("first"))
+    labelled = scratch.table(rooted.drop("first").join(least, "root"), "labelled")
+    scratch.drop("links", "distinct")
+    return prints, labelled
+
+
+def one_of_each(
+    df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 3, max_bits: int = 3
+) -> DataFrame:
+    """One row of each group that ``simhash_components`` links, with all columns of ``df``.
+
+    The row with the smallest key stays; a null key only where its group has no
+    other. Of rows with the same key one with the smallest fingerprint of the
+    group stays, and only one. Only keys and fingerprints are joined; texts move
+    only where a key is null or repeated.
+    """
+    prints, labelled = _labelled(df, key, text, shingle, max_bits)
+    chosen = F.struct(F.col("id").isNull().alias("last"), "id", "fingerprint")
+    stays = prints.join(labelled, "fingerprint").groupBy("root").agg(F.min(chosen).alias("c")).select("c.id", "c.fingerprint")
+    scratch = Scratch(df.sparkSession, "simhash")
+    stays = scratch.table(stays, "stays")
+    several = prints.groupBy("id").count().where("id is null or count > 1").select("id")
+    several = scratch.table(several, "several")
+    gone = prints.join(stays, ["id", "fingerprint"], "left_anti").select("id").distinct()
+    gone = scratch.table(gone.unionByName(several).distinct(), "gone")
+    single = df.join(gone.select(F.col("id").alias("gone_")), F.col(key).eqNullSafe(F.col("gone_")), "left_anti")
+    if not several.take(1):
+        return single
+    whole = df.select(F.struct(*df.columns).alias("row"))
+    repeated = whole.join(several, F.col("row")[key].eqNullSafe(F.col("id")), "left_semi")
+
+    @F.pandas_udf("bigint")
+    def printed(batch: pd.Series) -> pd.Series:
+        found = np.array([fingerprint(t, shingle) for t in batch], dtype=np.uint64)
+        return pd.Series(found.view(np.int64))
+
+    repeated = repeated.withColumn("fingerprint", printed(F.col("row")[text])).withColumn("id", F.col("row")[key])
+    same = repeated["id"].eqNullSafe(stays["id"]) & (repeated["fingerprint"] == stays["fingerprint"])
+    repeated = repeated.join(stays, same, "left_semi").groupBy("id", "fingerprint").agg(F.min("row").alias("row"))
+    return single.unionByName(repeated.select("row.*"))

@@ -192,6 +192,29 @@ def train(
     return Model(float(np.mean([r["bias"] for r in found])), kept)
 
 
+def keep_clean(
+    df: DataFrame,
+    labels: DataFrame,
+    key: str = "doc_id",
+    text: str = "text",
+    label: str = "toxic",
+    parts: int = 4,
+    part: int = 2,
+    threshold: float = THRESHOLD,
+    **bounds,
+) -> DataFrame:
+    """The rows of ``df`` that ``toxicity`` predicts not to be toxic, with all their columns."""
+    docs = texts_of(df, key, text)
+    inside = ~held_out("id", parts, part)
+    model = train(docs.where(inside), label_of(labels, key, label).where(inside), **bounds)
+
+    @F.pandas_udf("double")
+    def score(batch: pd.Series) -> pd.Series:
+        return pd.Series(model.score(batch.fillna("").tolist()))
+
+    return df.where(score(F.col(text)) < threshold)
+
+
 def toxicity(
     df: DataFrame,
     labels: DataFrame,
