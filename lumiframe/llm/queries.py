@@ -11,6 +11,7 @@ from . import mixing
 from .decontaminate import leaks
 from .exact_dedup import exact_dedup
 from .quality import quality
+from .secrets import secrets
 from .simhash import simhash_components
 from .token_files import tokenize_to_files
 from .toxicity import toxicity
@@ -61,10 +62,15 @@ def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base spans and owner-specific opaque ones: see ``secrets.secrets``."""
+    return secrets(table(spark, sf_dir, "documents"))
+
+
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three-word shingles, three bits: see ``simhash.simhash_components``."""
     return simhash_components(table(spark, sf_dir, "documents"), "doc_id", "text", shingle=3, max_bits=3)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_exact_dedup, op3_decontamination, op4_token_files, op5_toxicity, op6_quality_trees, op7_source_mixing, op10_simhash_near_dedup)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_exact_dedup, op3_decontamination, op4_token_files, op5_toxicity, op6_quality_trees, op7_source_mixing, op9_secret_scan, op10_simhash_near_dedup)}
 ORACLES: dict[str, str] = {"op1_exact_dedup": OP1_SQL, "op7_source_mixing": mixing.SQL}

@@ -1,0 +1,77 @@
+"""Secret scans: base spans against the plain patterns, ownership against counting."""
+
+import hashlib
+import random
+import re
+from collections import defaultdict
+
+import pytest
+
+from lumiframe.llm.secrets import base_spans, opaque_spans, secret_findings, secrets
+
+
+def plain(text):
+    text = text or ""
+    out = []
+    assign = r"(password|passwd|secret|token|api_?key)"
+    assign = re.sub(r"[a-z]", lambda m: f"[{m[0]}{m[0].upper()}]", assign.replace("api_?key", "api@?key")).replace("@", "_")
+    for m in re.finditer(assign + r"[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", text):
+        if len(m[2]) >= 12:
+            out.append((m.start(), 0, m.end(), "assign"))
+    out += [(m.start(), 1, m.end(), "access") for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 18]
+    out += [(m.start(), 2, m.end(), "hex") for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 16]
+    return [f"{n}:{s}:{e}" for s, _, e, n in sorted(out)]
+
+
+rng = random.Random(8)
+BITS = ["password", "PassWd=", "ſecret:", "secret : ", "token=\"", "api_key'= '", "apiKEY:", "AKIA", "AKIAAKIA", "ABCD1234", "0123456789abcdef", "deadbeef", "é", " ", "\n", "=", "x" * 12, "abc.def-", "😀", "toKen"]
+TEXTS = ["", None, "password = hunter2hunter2", "password=short"] + ["".join(rng.choice(BITS) for _ in range(rng.randrange(1, 25))) for _ in range(400)]
+
+
+@pytest.mark.parametrize("part", range(4))
+def test_base_spans(part):
+    for t in TEXTS[part::4]:
+        assert [f"{('assign', 'access', 'hex')[k]}:{s}:{e}" for s, k, e, _ in base_spans(t or "")] == plain(t)
+
+
+def test_opaque_runs():
+    value = "q8Zr7TmW2vKx9LpB4nYc"
+    assert [s[3] for s in opaque_spans(f"see {value} here", [])] == [value]
+    assert not opaque_spans("aaaaaaaaaaaaaaaaaaaaaaaa Plainwordplainwordplainword " + value, [(0, 0, 200, "")])
+
+
+def corpus():
+    live, copied = "q8Zr7TmW2vKx9LpB4nYc", "Zx81TmWq2vKx9LpB4nQQ"
+    rows = [(i, f"key {copied} and password: hunter2hunter2", f"o{i % 4}", "en") for i in range(8)]
+    rows += [(100, f"use {live}", "o1", "en"), (101, f"again {live}", "o1", "de"), (102, "token=zz9zz8zz7yy6xx5", "o2", "en")]
+    rows += [(103, None, None, None), (103, "", "o1", "en"), (None, f"{live} x", "o1", "en")]
+    rows += [(200 + i, t, "o3", "en") for i, t in enumerate(TEXTS[:100])]
+    return rows, live, copied
+
+
+def test_rows(spark):
+    rows, live, copied = corpus()
+    df = spark.createDataFrame([(*r, "v", 0) for r in rows], "doc_id bigint, text string, source string, lang string, value string, row int")
+    found = secrets(df).collect()
+    assert len(found) == len(rows)
+    by_id = defaultdict(list)
+    for r in found:
+        by_id[r.doc_id].append(r)
+    for d, t, _, _ in rows:
+        base = plain(t)
+        digest = hashlib.sha256(",".join(base).encode()).hexdigest()
+        own = [r for r in by_id[d] if r.base_sha256 == digest]
+        assert own and set(base) <= set(own[0].spans.split(","))
+        assert (own[0].n_assign, own[0].n_access, own[0].n_hex) == tuple(sum(b.startswith(k) for b in base) for k in ("assign", "access", "hex"))
+    assert by_id[100][0].spans == "opaque:4:24" and by_id[100][0].n_live == 1
+    assert by_id[None][0].spans == "opaque:0:20"
+    assert by_id[0][0].spans.startswith("assign") and by_id[0][0].n_example == 2
+    verdicts = {(r.value_sha256, r.owners, r.repositories, r.verdict) for r in secret_findings(df).collect()}
+    sha = lambda v: hashlib.sha256(v.encode()).hexdigest()
+    assert (sha(live), 1, 2, "live") in verdicts and (sha(copied), 4, 4, "example") in verdicts
+    assert (sha("zz9zz8zz7yy6xx5"), 1, 1, "unclear") in verdicts or (sha("zz9zz8zz7yy6xx5"), 1, 1, "live") in verdicts
+
+
+def test_empty_table(spark):
+    df = spark.createDataFrame([], "doc_id bigint, text string, source string, lang string")
+    assert secrets(df).collect() == [] and secret_findings(df).collect() == []
