@@ -15,6 +15,7 @@ from .secrets import secrets
 from .simhash import simhash_components
 from .token_files import tokenize_to_files
 from .toxicity import toxicity
+from .wrappers import main_text
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -62,6 +63,11 @@ def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op8_html_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Article text of every page by the wrapper of its host: see ``wrappers.main_text``."""
+    return main_text(table(spark, sf_dir, "pages"))
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base spans and owner-specific opaque ones: see ``secrets.secrets``."""
     return secrets(table(spark, sf_dir, "documents"))
@@ -72,5 +78,5 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(table(spark, sf_dir, "documents"), "doc_id", "text", shingle=3, max_bits=3)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_exact_dedup, op3_decontamination, op4_token_files, op5_toxicity, op6_quality_trees, op7_source_mixing, op9_secret_scan, op10_simhash_near_dedup)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_exact_dedup, op3_decontamination, op4_token_files, op5_toxicity, op6_quality_trees, op7_source_mixing, op8_html_wrappers, op9_secret_scan, op10_simhash_near_dedup)}
 ORACLES: dict[str, str] = {"op1_exact_dedup": OP1_SQL, "op7_source_mixing": mixing.SQL}
