@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from . import mixing
+from .backoff import backoff_scores
 from .decontaminate import leaks
 from .exact_dedup import exact_dedup
 from .quality import quality
@@ -37,6 +38,11 @@ WINDOW same AS (PARTITION BY coalesce(text, ''))
 """
 
 
+def op2_backoff_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document by the trigrams of all others: see ``backoff.backoff_scores``."""
+    return backoff_scores(table(spark, sf_dir, "documents"))
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of document and benchmark item: see ``decontaminate.leaks``."""
     return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -78,5 +84,5 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(table(spark, sf_dir, "documents"), "doc_id", "text", shingle=3, max_bits=3)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_exact_dedup, op3_decontamination, op4_token_files, op5_toxicity, op6_quality_trees, op7_source_mixing, op8_html_wrappers, op9_secret_scan, op10_simhash_near_dedup)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_exact_dedup, op2_backoff_scores, op3_decontamination, op4_token_files, op5_toxicity, op6_quality_trees, op7_source_mixing, op8_html_wrappers, op9_secret_scan, op10_simhash_near_dedup)}
 ORACLES: dict[str, str] = {"op1_exact_dedup": OP1_SQL, "op7_source_mixing": mixing.SQL}
