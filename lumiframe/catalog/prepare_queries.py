@@ -100,9 +100,9 @@ def label_dictionary(spark, sf):
 SELECT o_orderkey, code FROM orders JOIN d ON o_orderkey = value"""
 )
 def encode_many_labels(spark, sf):
-    """M1 beyond the broadcast bound: numbering in blocks and a shuffled join."""
+    """M1 with one label an order."""
     orders = spark.read.parquet(f"{sf}/orders.parquet").select("o_orderkey")
-    return encode(orders, "o_orderkey", max_rows=1000)[0]
+    return encode(orders, "o_orderkey")[0]
 
 
 @query(f"WITH {TABULAR_SQL} SELECT class AS label, code, count(*) AS n FROM tabular GROUP BY ALL")

@@ -1,51 +1,19 @@
-"""Size-checked broadcasts and lineage cuts."""
+"""Lineage cuts in the shared folder."""
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-SMALL_ROWS = 100_000
-SMALL_CHARS = 64 * 1024 * 1024
-
-
-def take_small(df: DataFrame, max_rows: int = SMALL_ROWS, max_chars: int = SMALL_CHARS) -> list | None:
-    """All rows of ``df`` when it is small, else None. Never fetches more than the bound."""
-    rows = df.limit(max_rows + 1).collect()
-    if len(rows) > max_rows or sum(len(str(r)) for r in rows) > max_chars:
-        return None
-    return rows
-
-
-def require_small(df: DataFrame, what: str, max_rows: int = SMALL_ROWS) -> list:
-    """All rows of a table that must be small by its meaning (labels, trials)."""
-    rows = take_small(df, max_rows)
-    if rows is None:
-        raise ValueError(f"{what}: more than {max_rows} rows")
-    return rows
-
-
-def small_or_shuffled(df: DataFrame, max_rows: int = SMALL_ROWS) -> DataFrame:
-    """Side of a join: a broadcast copy when its checked size is small.
-
-    Beyond the bound the table comes back as it is, so that the join is a
-    shuffled one, whose hot keys adaptive execution splits.
-    """
-    rows = take_small(df, max_rows)
-    if rows is None:
-        return df
-    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
-
 
 def shared_folder(spark: SparkSession) -> str:
     """Folder every executor can reach, as named by ``spark.checkpoint.dir``."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     folder = tempfile.mkdtemp(prefix="lumiframe-")
     spark.conf.set("spark.checkpoint.dir", folder)

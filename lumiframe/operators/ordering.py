@@ -1,10 +1,11 @@
 """Order-dependent operators without one task per group.
 
 ``row_number`` and running totals over ``partitionBy(label)`` put a whole label
-into one task. Here the rows are first cut into blocks along the order: blocks
-of one group follow each other, each holds a bounded share of all rows, and the
-carry from earlier blocks is a tiny aggregate. The window then runs per
-(group, block).
+into one task. Here the rows are range-partitioned along the order and written
+once with the number of their partition, the block. Blocks of one group follow
+each other, the carry from earlier blocks is a small aggregate, and the window
+runs per (group, block). Tables of all sizes take this path; adaptive execution
+joins the ranges of a small one.
 """
 
 from __future__ import annotations
@@ -15,51 +16,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.sizes import small_or_shuffled
+from ..functions.sizes import cut_lineage
 
 BLOCK = "order_block_"
-SAMPLE_PER_BLOCK = 32
-MAX_BLOCKS = 512
-
-
-def _key_columns(columns: Sequence[str | Column]) -> list[Column]:
-    return [(F.col(c) if isinstance(c, str) else c).alias(f"k{i}") for i, c in enumerate(columns)]
-
-
-def cut_points(df: DataFrame, columns: Sequence[str | Column], blocks: int | None = None) -> list[Column]:
-    """Keys that cut ``df`` into blocks along ascending ``columns``; none for a small table.
-
-    They come from a bottom-k hash sample, a bounded number of key rows. The sample
-    decides the balance only; any cut points give exact results. Without a wish for
-    ``blocks``, a table that fits into the sample is not cut.
-    """
-    wished = blocks is not None
-    blocks = blocks or min(MAX_BLOCKS, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    if blocks <= 1:
-        return []
-    keys = df.select(_key_columns(columns))
-    bound = SAMPLE_PER_BLOCK * blocks
-    sample = keys.orderBy(F.xxhash64(*keys.columns)).limit(bound).orderBy(*keys.columns).collect()
-    if len(sample) < bound and not wished:
-        return []
-    step = max(1, len(sample) // blocks)
-    fields = keys.schema.fields
-    return [
-        F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(cut, fields)]) for cut in sample[step::step]
-    ]
-
-
-def block_of(columns: Sequence[str | Column], cuts: list[Column]) -> Column:
-    """Number of the block a row falls into."""
-    if not cuts:
-        return F.lit(0)
-    row = F.struct(*_key_columns(columns))
-    return F.size(F.filter(F.array(*cuts), lambda cut: cut <= row))
-
-
-def order_block(df: DataFrame, columns: Sequence[str | Column], blocks: int | None = None) -> Column:
-    """Expression numbering blocks of ``df`` along ascending ``columns``."""
-    return block_of(columns, cut_points(df, columns, blocks))
 
 
 def running(
@@ -73,20 +32,17 @@ def running(
     """Inclusive running sums and maxima along ``order`` (unique within ``by``).
 
     ``sums`` and ``maxima`` map new column names to the values to accumulate.
+    ``blocks`` sets the number of ranges, by default the shuffle partitions.
     """
     sums, maxima = sums or {}, maxima or {}
     by = list(by)
     order = list(order)
-    cuts = cut_points(df, [*by, *order], blocks)
-    if not cuts:
-        whole = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-        totals = {n: F.sum(v).over(whole) for n, v in sums.items()}
-        return df.withColumns(totals | {n: F.max(v).over(whole) for n, v in maxima.items()})
     tag = uuid.uuid4().hex[:8]
     block = f"{BLOCK}{tag}"
     values = {f"{name}_{tag}": value for name, value in {**sums, **maxima}.items()}
     rows = df.withColumns({n: F.col(v) if isinstance(v, str) else v for n, v in values.items()})
-    rows = rows.withColumn(block, block_of([*by, *order], cuts))
+    ranges = rows.repartitionByRange(*([blocks] if blocks else []), *by, *order)
+    rows = cut_lineage(ranges.withColumn(block, F.spark_partition_id()))
 
     total = [F.sum(f"{n}_{tag}").alias(f"{n}_{tag}") for n in sums]
     total += [F.max(f"{n}_{tag}").alias(f"{n}_{tag}") for n in maxima]
@@ -137,35 +93,29 @@ def competition_rank(
     same = F.col(value) == F.col("value_r")
     for c in by:
         same &= F.col(c).eqNullSafe(F.col(f"{c}_r"))
-    return df.join(small_or_shuffled(side), same, "left").select(*df.columns, out)
+    return df.join(side, same, "left").select(*df.columns, out)
 
 
-def cut_values(
-    df: DataFrame, label: str, order: dict[str, Column], bucket: Column, wanted: list[tuple]
-) -> DataFrame:
+def cut_values(df: DataFrame, label: str, order: dict[str, Column], bucket: Column, wanted: DataFrame) -> DataFrame:
     """The order keys found at given ranks of each label.
 
-    ``wanted`` holds (label, cut, rank). ``bucket`` must be non-decreasing along
-    ``order``. A histogram (label, bucket) locates the bucket of each rank; only
-    the rows of those buckets are sorted. The result has one row per wanted cut,
-    with the columns of ``order`` at that rank.
+    ``wanted`` has the columns of label, cut and rank. ``bucket`` must be
+    non-decreasing along ``order``. A histogram (label, bucket) locates the bucket
+    of each rank; only the rows of those buckets are sorted. The result has one
+    row per wanted cut, with the columns of ``order`` at that rank.
     """
-    spark = df.sparkSession
-    label_type = df.schema[label].dataType.simpleString()
-    ranks = spark.createDataFrame(wanted, f"`{label}` {label_type}, cut int, rank long")
     narrow = df.select(label, bucket.alias(BLOCK), *[c.alias(n) for n, c in order.items()])
     histogram = narrow.groupBy(label, BLOCK).agg(F.count(F.lit(1)).alias("n"))
     upto = Window.partitionBy(label).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, 0)
     located = (
         histogram.withColumn("upto", F.sum("n").over(upto))
-        .join(F.broadcast(ranks), label)
+        .join(wanted, label)
         .where((F.col("rank") <= F.col("upto")) & (F.col("rank") > F.col("upto") - F.col("n")))
         .select(label, BLOCK, "cut", (F.col("rank") - F.col("upto") + F.col("n")).alias("residual"))
     )
-    located = F.broadcast(spark.createDataFrame(located.collect(), located.schema))  # one row per wanted cut
     place = Window.partitionBy(label, "cut").orderBy(*order)
     return (
-        narrow.join(located, [label, BLOCK])
+        narrow.join(cut_lineage(located), [label, BLOCK])
         .withColumn("place", F.row_number().over(place))
         .where(F.col("place") == F.col("residual"))
         .select(label, "cut", *order)

@@ -100,14 +100,19 @@ def best_so_far(
 
 
 def summarise_trials(
-    scores: DataFrame, search: Sequence[str], trial: str, score: str, blocks: int | None = None
+    scores: DataFrame,
+    search: Sequence[str],
+    trial: str,
+    score: str,
+    blocks: int | None = None,
+    best_is_max: bool = True,
 ) -> DataFrame:
     """Mean, population deviation and competition rank per trial of a (trial, split, score) table."""
     search = list(search)
     summary = scores.groupBy(*search, trial).agg(
         F.avg(score).alias("mean_test_score"), F.stddev_pop(score).alias("std_test_score")
     )
-    return competition_rank(summary, search, "mean_test_score", "rank_test_score", blocks=blocks)
+    return competition_rank(summary, search, "mean_test_score", "rank_test_score", best_is_max, blocks)
 
 
 def top_trials(trials: DataFrame, search: Sequence[str], trial: str, n: int = 5) -> DataFrame:

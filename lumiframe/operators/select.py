@@ -29,9 +29,10 @@ def valid_rows(df: DataFrame, target: str, features: str = FEATURES) -> DataFram
     return df.where(~is_missing(df, target) & valid_spectrum(features))
 
 
-def available(df: DataFrame, column: str, limit: int = 1000) -> list:
-    """Distinct values of a column for a message, at most ``limit`` of them."""
-    return sorted(str(r[0]) for r in df.select(column).distinct().limit(limit).collect())
+def some_values(df: DataFrame, column: str, limit: int = 100) -> str:
+    """Distinct values of a column for a message, which says where it is cut."""
+    found = sorted(str(r[0]) for r in df.select(column).distinct().limit(limit + 1).collect())
+    return ", ".join(found[:limit]) + (", and more" if len(found) > limit else "")
 
 
 def select_samples(
@@ -54,9 +55,8 @@ def select_samples(
     if target not in df.columns:
         chosen = chosen.withColumn(target, F.lit(1.0))
     if not chosen.where(~is_missing(chosen, target)).take(1):
-        names = available(df, type_column)
-        if sample_type not in names:
-            raise ValueError(f"no sample type {sample_type!r}; available: {names}")
+        if not df.where(F.col(type_column) == sample_type).take(1):
+            raise ValueError(f"no sample type {sample_type!r}; available: {some_values(df, type_column)}")
         raise ValueError(f"no value of {target!r} among rows of {sample_type!r}")
     return valid_rows(chosen, target, features)
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators.results import append_log
@@ -15,6 +14,23 @@ def save_results(tables: dict[str, DataFrame], root: str, fmt: str = "parquet",
         df.write.partitionBy("target_variable").mode(mode).option("header", True).format(fmt).save(f"{root}/{name}")
 
 
+#: Fixed names of the result files of a target; {} is the suffix.
+RESULT_FILES = {
+    "results_summary": ("results_summary{}", "csv"),
+    "back_projection": ("results_summary{}_back_projection", "csv"),
+    "grid_search_results": ("grid_search_results_{}_back_projection", "csv"),
+    "cross_validation": ("results_summary{}_cross", "json"),
+}
+
+
+def save_target_results(tables: dict[str, DataFrame], root: str, target: str, group: str | None = None) -> None:
+    """The four result tables of one target under ``<root>/<target>``, named after the group or else the target."""
+    for name, df in tables.items():
+        stem, fmt = RESULT_FILES[name]
+        path = f"{root}/{target}/{stem.format(f'_{group or target}')}.{fmt}"
+        df.write.mode("overwrite").option("header", True).format(fmt).save(path)
+
+
 def save_log(new: DataFrame, path: str, key: str = "run_id") -> DataFrame:
     """Append to an experiment log; the first row of a run stays. Returns the new log.
 
@@ -32,13 +48,8 @@ def save_log(new: DataFrame, path: str, key: str = "run_id") -> DataFrame:
 
 def exists(spark: SparkSession, path: str) -> bool:
     """Whether a file or folder is there, on any file system Spark reaches."""
-    try:
-        spark.read.text(path)
-    except AnalysisException as error:
-        if error.getCondition() == "PATH_NOT_FOUND":
-            return False
-        raise
-    return True
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
 
 
 def save_example(df: DataFrame, path: str) -> None:

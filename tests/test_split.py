@@ -1,5 +1,6 @@
 """Split and fold sizes, and order operators against plain Python."""
 
+import math
 import random
 
 import pytest
@@ -7,12 +8,41 @@ from pyspark.sql import functions as F
 
 from lumiframe.operators import ordering
 from lumiframe.operators.encode import decode, encode
-from lumiframe.operators.split import allocate, fold_sizes, stratified_folds, stratified_split, train_sizes
+from lumiframe.operators import split
+from lumiframe.operators.select import select_samples
+from lumiframe.operators.split import stratified_folds, stratified_split
 
 # Recorded test rows per class for the training shares 0.8, 0.7 and 0.6.
 RECORDED = {0.8: (9, 20, 11), 0.7: (13, 30, 17), 0.6: (17, 39, 23)}
 
 
+def allocate(counts, draws):
+    total = sum(counts.values())
+    exact = {c: n / total * draws for c, n in counts.items()}
+    share = {c: math.floor(x) for c, x in exact.items()}
+    order = sorted(counts, key=lambda c: (-(exact[c] - share[c]), c))
+    for c in order[: draws - sum(share.values())]:
+        share[c] += 1
+    return share
+
+
+def train_sizes(counts, fraction):
+    total = sum(counts.values())
+    return allocate(counts, total - math.ceil((1 - fraction) * total))
+
+
+def fold_sizes(counts, k):
+    sizes, start = {}, 0
+    for c, n in sorted(counts.items()):
+        sizes[c] = [len(range((i - start) % k, n, k)) for i in range(k)]
+        start += n
+    return sizes
+
+
+def counted(spark, counts):
+    return spark.createDataFrame(list(counts.items()), "c int, n long")
+
+
 def test_recorded_test_sizes():
     """One set of class totals with 197 rows fits all three recorded vectors, up to equal remainders."""
     fitting = []
@@ -26,25 +56,49 @@ def test_recorded_test_sizes():
     assert fitting
 
 
-def test_bounds_of_the_share():
-    with pytest.raises(ValueError):
-        train_sizes({0: 5, 1: 5}, 0)
-    with pytest.raises(ValueError):
-        train_sizes({0: 5, 1: 5}, 1.2)
-    with pytest.raises(ValueError):
-        train_sizes({0: 5, 1: 1}, 0.5)
-    assert train_sizes({0: 5, 1: 1}, 1) == {0: 5, 1: 1}
+def test_bounds_of_the_share(spark):
+    for counts, share in (({0: 5, 1: 5}, 0), ({0: 5, 1: 5}, 1.2), ({0: 5, 1: 1}, 0.5)):
+        with pytest.raises(ValueError):
+            split.train_sizes(counted(spark, counts), "c", share)
+    assert {r["c"]: r["size"] for r in split.train_sizes(counted(spark, {0: 5, 1: 1}), "c", 1).collect()} == {0: 5, 1: 1}
 
 
-def test_allocation_sums():
+def test_allocation(spark):
     rng = random.Random(1)
-    for _ in range(200):
-        counts = {i: rng.randint(1, 50) for i in range(rng.randint(2, 6))}
+    for _ in range(5):
+        counts = {i: rng.randint(1, 50) for i in range(rng.randint(2, 40))}
         draws = rng.randint(0, sum(counts.values()))
-        share = allocate(counts, draws)
+        share = {r["c"]: r["size"] for r in split.allocate(counted(spark, counts), "c", draws).collect()}
+        assert share == allocate(counts, draws)
         assert sum(share.values()) == draws and all(0 <= share[c] <= counts[c] for c in counts)
 
 
+def test_thousands_of_classes(spark):
+    """One class a key: split, folds and sizes take the same path as three classes."""
+    rng = random.Random(3)
+    rows = [(i, rng.randrange(3000)) for i in range(20000)]
+    counts = {}
+    for _, c in rows:
+        counts[c] = counts.get(c, 0) + 1
+    rows = [r for r in rows if counts[r[1]] > 1]
+    counts = {c: n for c, n in counts.items() if n > 1}
+    df = spark.createDataFrame(rows, "id long, c int")
+    found = {r["c"]: r["n"] for r in stratified_split(df, "id", "c", 0.7).where("is_train").groupBy("c").agg(F.count("*").alias("n")).collect()}
+    assert found == {c: n for c, n in train_sizes(counts, 0.7).items() if n}
+    sizes = fold_sizes(counts, 5)
+    folds = stratified_folds(df, "id", "c", 5, 1).groupBy("c", "fold").count().collect()
+    assert {(r["c"], r["fold"]): r["count"] for r in folds} == {(c, f): n for c, s in sizes.items() for f, n in enumerate(s) if n}
+
+
+def test_error_names_the_real_fault(spark):
+    """A type among very many that has no value is not reported as an unknown one."""
+    df = spark.createDataFrame([(f"t{i:05d}", [1.0], None if i == 2999 else "x") for i in range(3000)], "sample_type string, spectrum array<double>, target string")
+    with pytest.raises(ValueError, match="no value"):
+        select_samples(df, "target", "t02999")
+    with pytest.raises(ValueError, match="no sample type.*and more"):
+        select_samples(df, "target", "unknown")
+
+
 def test_split_does_not_depend_on_partitioning(spark):
     df = spark.range(1000).withColumn("c", F.when(F.col("id") < 700, "x").when(F.col("id") < 950, "y").otherwise("z"))
     first = stratified_split(df, "id", "c", 0.7).where("is_train").select("id").collect()
@@ -122,9 +176,8 @@ def test_recorded_trial_ranks(spark):
 
 def test_codes_follow_the_values(spark):
     df = spark.createDataFrame([(10.0,), (2.0,), (9.0,), (None,), (float("nan"),)], "v double")
-    for bound in (100, 1):
-        coded, dictionary = encode(df, "v", max_rows=bound)
-        codes = {str(r["v"]): r["code"] for r in coded.collect()}
-        assert codes == {"10.0": 2, "2.0": 0, "9.0": 1, "None": -1, "nan": -1}
-        back = decode(coded, dictionary, out="w", max_rows=bound).where("code >= 0").collect()
-        assert all(r["v"] == r["w"] for r in back)
+    coded, dictionary = encode(df, "v")
+    codes = {str(r["v"]): r["code"] for r in coded.collect()}
+    assert codes == {"10.0": 2, "2.0": 0, "9.0": 1, "None": -1, "nan": -1}
+    back = decode(coded, dictionary, out="w").where("code >= 0").collect()
+    assert all(r["v"] == r["w"] for r in back)
