@@ -63,9 +63,8 @@ def cross_products(df: DataFrame, features: str, label: str) -> tuple[np.ndarray
                     [pa.array([i], pa.int32()), pa.array([total[i]], pa.list_(pa.float64()))], ["pos", "part"]
                 )
 
-    # One matrix per core and not one per file split keeps the second step small.
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    parts = rows.coalesce(cores).mapInArrow(partial, "pos int, part array<double>")
+    # One matrix per task; the sum by position combines those of one executor's tasks before they move.
+    parts = rows.mapInArrow(partial, "pos int, part array<double>")
     summed = _add_up(parts)
     return np.vstack([summed[i] for i in range(len(summed))]), shift
 
