@@ -123,7 +123,7 @@ def plan_blocks(
     # One row a block here, not a document: a source with a third of all rows has a third of the blocks.
     before = "coalesce(sum(tokens) OVER (PARTITION BY s, epoch ORDER BY turn, block ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)"
     placed = epochs.withColumn("before", F.expr(f"epoch * n + {before}"))
-    taken = placed.where("n = 0 or 2 * before + tokens <= 2 * wanted")
+    taken = placed.where("n = 0 or (epoch * n < wanted and 2 * before + tokens <= 2 * wanted)")
     position = F.when(F.col("wanted") > 0, F.col("before") / F.col("wanted")).otherwise(F.lit(0.0))
     return taken.select("s", "parts", "block", "epoch", position.alias("position"))
 
@@ -268,5 +268,5 @@ taken AS (
 SELECT p.doc_id, p.source, p.tokens AS n_tokens, t.epoch::INT AS epoch, p.block::INT AS block,
        CASE WHEN t.wanted > 0 THEN t.ahead::DOUBLE / t.wanted::DOUBLE ELSE 0.0 END AS position
 FROM placed p JOIN taken t ON p.s = t.s AND p.block = t.block
-WHERE t.n = 0 OR 2 * t.ahead + t.tokens <= 2 * t.wanted
+WHERE t.n = 0 OR (t.epoch * t.n < t.wanted AND 2 * t.ahead + t.tokens <= 2 * t.wanted)
 """

@@ -70,6 +70,11 @@ def test_budgets_are_met(spark):
     assert Counter(r.doc_id for r in whole.collect()) == Counter(r.doc_id for r in found)
 
 
+def test_documents_without_tokens_are_not_repeated(spark):
+    df = spark.createDataFrame([(i, "w w" if i % 2 else "", "one") for i in range(600)], "doc_id bigint, text string, source string")
+    assert sorted(r.doc_id for r in mixed_rows(df).collect()) == list(range(600))
+
+
 def test_odd_rows(spark):
     df = spark.createDataFrame([(None, "a b", None, 1), (None, "a b", None, 1), (1, None, None, 1), (1, "", "", 1)], "doc_id bigint, text string, source string, s int")
     assert mixed_rows(df).count() >= 3
