@@ -29,7 +29,7 @@ UNION ALL SELECT key, 1, 1850.25::DOUBLE, x1 FROM tabular
 UNION ALL SELECT key, 2, 2500::DOUBLE, x2 FROM tabular"""
 )
 def pack_wide_table(spark, sf):
-    """The columns that are not descriptive become one array and an axis."""
+    """The columns that are not descriptive become one array and an axis."""
     rows = tabular(spark, sf)
     wide = rows.select("key", "grp", *[F.col(c).alias(n) for c, n in (("x0", "400.5"), ("x1", "1850.25"), ("x2", "2500"))])
     packed, axis = pack(wide, ["key", "grp"])

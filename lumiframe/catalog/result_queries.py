@@ -142,7 +142,7 @@ def leaderboard_of_losses(spark, sf):
 QUALIFY row_number() OVER (PARTITION BY sample_type ORDER BY f1 DESC, run_id) = 1"""
 )
 def best_run_per_type(spark, sf):
-    """The first row wins a tie, missing values are skipped."""
+    """The first row wins a tie, missing values are skipped."""
     return res.best_row(run_log(spark, sf), "f1", tie=["run_id"], by=["sample_type"]).select("run_id", "sample_type", "f1")
 
 
@@ -157,7 +157,7 @@ def best_run_overall(spark, sf):
 FROM run_log c JOIN run_log p ON c.parent_run_id = p.run_id"""
 )
 def children_with_parent(spark, sf):
-    """J5 S5."""
+    """J5."""
     rows = res.with_parent(run_log(spark, sf), ["acc", "sample_type"])
     return rows.select("run_id", "parent_run_id", "acc", "parent_acc", "parent_sample_type")
 
@@ -363,14 +363,14 @@ SELECT o_orderkey, ([{", ".join("'" + n + "'" for n in ("CAPILAR", "PLASMA", "SA
 FROM paths WHERE o_orderkey % 50 <> 0"""
 )
 def parse_importance_paths(spark, sf):
-    """Facts from paths that match."""
+    """Facts from paths that match."""
     facts = paths(spark, sf).withColumn("f", text.parse_importance_path("path"))
     return facts.where(F.col("f").isNotNull()).select("o_orderkey", "f.*")
 
 
 @query(f"WITH {PATHS_SQL} SELECT o_orderkey, path FROM paths WHERE o_orderkey % 50 = 0")
 def quarantined_paths(spark, sf):
-    """Paths that do not match."""
+    """paths that do not match."""
     facts = paths(spark, sf).withColumn("f", text.parse_importance_path("path"))
     return facts.where(F.col("f").isNull()).select("o_orderkey", "path")
 
@@ -400,7 +400,7 @@ def result_names(spark, sf):
     f"""WITH {RUN_LOG_SQL} SELECT run_id, sample_type, run_name, acc FROM run_log"""
 )
 def split_layout_round_trip(spark, sf):
-    """One-row tables written as JSON split layout and read back."""
+    """one-row tables written as JSON split layout and read back."""
     runs = run_log(spark, sf).select("run_id", "sample_type", "run_name", "acc")
     packed = runs.select(to_split_json(["run_id", "sample_type", "run_name", "acc"]).alias("value"))
     return from_split_json(packed, "value", "run_id bigint, sample_type string, run_name string, acc double")

@@ -168,8 +168,13 @@ def test_importance_tree(spark, tmp_path):
         "search_type": "GridSearchCV",
     }
     assert [r["path"].rsplit("/", 1)[1] for r in unknown.collect()] == ["notes.csv"]
-    sinks.save_table(known, str(tmp_path / "out"), "csv")
-    assert spark.read.option("header", True).csv(str(tmp_path / "out")).count() == 4
+    other = good.replace("SERUM", "URINE")
+    (tmp_path / "group_fam" / other).write_text('Importance,Note,Wavenumber\n0.75,"a, b",600\n')
+    united, _ = read_importance_files(spark, str(tmp_path))
+    mixed = {(r["Wavenumber"], r["Importance"], r["Note"]) for r in united.where("target_variable = 'group_fam'").collect()}
+    assert mixed == {(400.5, 0.25, None), (500.0, 0.5, None), (600.0, 0.75, "a, b")}
+    sinks.save_table(united, str(tmp_path / "out"), "csv")
+    assert spark.read.option("header", True).csv(str(tmp_path / "out")).count() == 5
 
 
 def test_names(spark):
