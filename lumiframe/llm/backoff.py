@@ -255,3 +255,39 @@ def backoff_scores(
         "log_score",
         F.when(F.col("n_tokens") > 0, F.col("log_score") / F.col("n_tokens")).alias("mean_log_score"),
     )
+
+
+#: The same scores in SQL for trigrams, rounded to six digits.
+SQL = f"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, lower(coalesce(text, '')) AS t FROM documents),
+split AS (
+  SELECT r, list_filter(regexp_split_to_array(t, '\\s+'), lambda x: x <> '') AS ws FROM docs
+),
+words AS (SELECT r, unnest(ws) AS w, generate_subscripts(ws, 1) AS pos FROM split),
+grams AS (
+  SELECT r, pos, w AS g1, lag(w) OVER p || ' ' || w AS g2, lag(w, 2) OVER p || ' ' || lag(w) OVER p || ' ' || w AS g3
+  FROM words WINDOW p AS (PARTITION BY r ORDER BY pos)
+),
+counted AS (
+  SELECT r, pos, g2 IS NOT NULL AS has2, g3 IS NOT NULL AS has3,
+         count(*) OVER (PARTITION BY g1) - count(*) OVER (PARTITION BY r, g1) AS n1,
+         count(*) OVER (PARTITION BY g2) - count(*) OVER (PARTITION BY r, g2) AS n2,
+         count(*) OVER (PARTITION BY g3) - count(*) OVER (PARTITION BY r, g3) AS n3,
+         greatest(count(*) OVER () - count(*) OVER (PARTITION BY r), 1) AS others
+  FROM grams
+),
+placed AS (
+  SELECT *, lag(n1) OVER p AS below1, lag(n2) OVER p AS below2 FROM counted WINDOW p AS (PARTITION BY r ORDER BY pos)
+),
+scored AS (
+  SELECT r, CASE
+    WHEN has3 AND n3 > 0 AND below2 > 0 THEN ln(n3 / below2)
+    WHEN has2 AND n2 > 0 AND below1 > 0 THEN ln(n2 / below1) + CASE WHEN has3 THEN ln({DISCOUNT}) ELSE 0 END
+    ELSE ln(CASE WHEN n1 > 0 THEN n1 ELSE 0.5 END / others) + (least(pos, 3) - 1) * ln({DISCOUNT})
+  END AS score FROM placed
+),
+sums AS (SELECT r, count(*) AS n, sum(score) AS total FROM scored GROUP BY r)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_tokens, round(coalesce(total, 0.0), 6)::DOUBLE AS log_score,
+       round(total / n, 6)::DOUBLE AS mean_log_score
+FROM docs LEFT JOIN sums USING (r)
+"""

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import mixing
-from .backoff import backoff_scores
+from . import backoff, mixing
 from .decontaminate import leaks
 from .exact_dedup import exact_dedup
 from .quality import quality
@@ -40,7 +40,9 @@ WINDOW same AS (PARTITION BY coalesce(text, ''))
 
 def op2_backoff_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document by the trigrams of all others: see ``backoff.backoff_scores``."""
-    return backoff_scores(table(spark, sf_dir, "documents"))
+    scores = backoff.backoff_scores(table(spark, sf_dir, "documents"))
+    rounded = {c: F.round(c, 6) for c in ("log_score", "mean_log_score")}
+    return scores.withColumns(rounded)
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,4 +87,4 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_exact_dedup, op2_backoff_scores, op3_decontamination, op4_token_files, op5_toxicity, op6_quality_trees, op7_source_mixing, op8_html_wrappers, op9_secret_scan, op10_simhash_near_dedup)}
-ORACLES: dict[str, str] = {"op1_exact_dedup": OP1_SQL, "op7_source_mixing": mixing.SQL}
+ORACLES: dict[str, str] = {"op1_exact_dedup": OP1_SQL, "op2_backoff_scores": backoff.SQL, "op7_source_mixing": mixing.SQL}

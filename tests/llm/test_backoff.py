@@ -4,11 +4,13 @@ import math
 import random
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pytest
 
 from lumiframe.llm import backoff
 from lumiframe.llm.backoff import backoff_scores, pack_numbers, pack_sorted, unpack_numbers, unpack_sorted
+from lumiframe.llm.queries import ORACLES, QUERIES
 
 
 def plain(rows, order, own):
@@ -59,6 +61,16 @@ def test_long_text_and_empty_table(spark):
     assert backoff_scores(df.limit(0)).collect() == []
 
 
+def test_query_matches_sql(spark, data):
+    name = "op2_backoff_scores"
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{data}/documents.parquet')")
+    df = QUERIES[name](spark, data)
+    cursor = con.execute(ORACLES[name])
+    assert [d[0] for d in cursor.description] == df.columns
+    assert sorted(map(str, map(tuple, df.collect()))) == sorted(map(str, cursor.fetchall()))
+
+
 def test_packed_numbers():
     rng = np.random.default_rng(0)
     for high in (1, 300, 2**40, 2**56):
