@@ -60,6 +60,7 @@ def _hash_order(key: str, seed: int) -> tuple[dict[str, Column], Column]:
 def _with_cuts(df: DataFrame, label: str, order: dict[str, Column], cuts: DataFrame) -> DataFrame:
     """Rows with ``cuts_``, how many cuts of their class there are, and ``passed_``, how many lie before them."""
     side = cuts.groupBy(F.col(label).alias("cut_label_")).agg(F.collect_list(F.struct(*order)).alias("at_"))
+    side = cut_lineage(side)
     own = F.struct(*[c.alias(n) for n, c in order.items()])
     rows = df.join(side, F.col(label) == F.col("cut_label_"), "left")
     return rows.withColumns(
