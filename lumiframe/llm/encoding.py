@@ -8,15 +8,33 @@ from functools import lru_cache
 import numpy as np
 from tokenizers import Tokenizer
 
-#: Words and space-delimited chunks that a Python worker remembers; a full cache starts again empty.
-WORDS, CHUNKS = 1_000_000, 400_000
-#: Texts that are looked up together, and words that are encoded as one text.
+#: Pieces that a Python worker remembers; a full cache starts again empty.
+WORDS = 1_000_000
+#: Texts that are looked up together, and pieces that are encoded as one text.
 TEXTS, JOINED = 200, 500
 
-# Chunks of these characters fall into runs of letters, single digits and runs of marks, whatever stands
-# beside them: they are in composed form, and no mark among them starts a contraction or a special token.
-_PLAIN = re.compile(r"[0-9A-Za-zÀ-ÖØ-öø-ÿ!-&(-/:-@\[-`{-~]*")
+# A stretch of these characters falls into runs of letters, single digits and runs of marks, whatever stands
+# beside it: they are in composed form, and no mark among them starts a contraction or a special token.
+_ODD = re.compile(r"[^ \t\n\r0-9A-Za-zÀ-ÖØ-öø-ÿ!-&(-/:-@\[-`{-~]|<\|")
 _PIECES = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|[!-&(-/:-@\[-`{-~]+")
+_GAP = re.compile(r"[ \n]")
+
+
+def stretches(text: str) -> list[tuple[bool, str]]:
+    """(whether it is plain, stretch): a chunk between spaces or line ends that holds any other character stays whole."""
+    found, at = [], 0
+    for odd in _ODD.finditer(text):
+        if odd.start() < at:
+            continue
+        first = max(at, text.rfind(" ", at, odd.start()) + 1, text.rfind("\n", at, odd.start()) + 1)
+        gap = _GAP.search(text, odd.end())
+        if first > at:
+            found.append((True, text[at:first]))
+        at = gap.start() if gap else len(text)
+        found.append((False, text[first:at]))
+    if at < len(text):
+        found.append((True, text[at:]))
+    return found
 
 
 class Encoder:
@@ -25,7 +43,7 @@ class Encoder:
     For tokenizers that lower-case, drop white space, split into runs of letters,
     single digits and runs of other marks, and close each with an end-of-word
     suffix. A space or line feed always separates, so a text is the sequence of
-    its chunks; a chunk of plain characters is the sequence of its pieces.
+    its stretches, and a plain stretch is the sequence of its pieces.
     """
 
     def __init__(self, path: str):
@@ -36,7 +54,6 @@ class Encoder:
         self.closes = np.zeros(size, dtype=bool)
         self.closes[[i for word, i in vocabulary.items() if word.endswith("</w>")]] = True
         self.words: dict[str, bytes] = {}
-        self.chunks: dict[str, bytes] = {"": b""}
 
     def _direct(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
@@ -53,34 +70,29 @@ class Encoder:
             for word, a, b in zip(some, [0, *ends[:-1].tolist()], ends.tolist()):
                 self.words[word] = ids[a:b].tobytes()
 
-    def _learn_chunks(self, chunks: set[str]) -> None:
-        pieces, other = {}, []
-        for chunk in chunks:
-            if _PLAIN.fullmatch(chunk) and "<|" not in chunk:
-                pieces[chunk] = _PIECES.findall(chunk.lower())
-            else:
-                other.append(chunk)
-        needed = {p for found in pieces.values() for p in found}
+    def _learn(self, wanted: set[str]) -> None:
         if len(self.words) > WORDS:
             self.words.clear()
-        self._learn_words(list(needed - self.words.keys()))
-        word = self.words.__getitem__
-        for chunk, found in pieces.items():
-            self.chunks[chunk] = b"".join(map(word, found))
-        self.chunks.update(zip(other, self._direct(other)))
+        missing = [x for x in wanted if x not in self.words]
+        plain = [x for x in missing if _PIECES.fullmatch(x)]
+        other = [x for x in missing if not _PIECES.fullmatch(x)]
+        self._learn_words(plain)
+        self.words.update(zip(other, self._direct(other)))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         out: list[bytes] = []
+        pieces = _PIECES.findall
         for at in range(0, len(texts), TEXTS):
-            split = [t.replace("\n", " ").split(" ") for t in texts[at : at + TEXTS]]
-            wanted = set().union(*split)
-            if len(self.chunks) > CHUNKS:
-                self.chunks.clear()
-            missing = wanted - self.chunks.keys()
-            if missing:
-                self._learn_chunks(missing)
-            chunk = self.chunks.__getitem__
-            out += [b"".join(map(chunk, parts)) for parts in split]
+            split = []
+            for text in texts[at : at + TEXTS]:
+                if _ODD.search(text):
+                    parts = [pieces(x.lower()) if plain else [x] for plain, x in stretches(text)]
+                    split.append([x for part in parts for x in part])
+                else:
+                    split.append(pieces(text.lower()))
+            self._learn(set().union(*split))
+            word = self.words.__getitem__
+            out += [b"".join(map(word, parts)) for parts in split]
         return out
 
 

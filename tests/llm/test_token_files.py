@@ -40,7 +40,6 @@ def test_ids_of_odd_texts(texts):
 
 def test_full_caches_start_again(monkeypatch):
     monkeypatch.setattr(encoding, "WORDS", 3)
-    monkeypatch.setattr(encoding, "CHUNKS", 3)
     monkeypatch.setattr(encoding, "TEXTS", 1)
     own = encoding.Encoder(PATH)
     texts = [f"word{i} other{i % 3}, Again" for i in range(20)]
