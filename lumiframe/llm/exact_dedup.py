@@ -76,8 +76,8 @@ def _checked(hits: DataFrame, scratch: Scratch) -> DataFrame | None:
     Every hit's full content is compared with the content that the group's locator names.
     """
     kept = hits.where("at <=> keeper").select("digest", F.col("content").alias("kept"))
-    differing = hits.join(kept, "digest").where("content != kept").select("digest").distinct()
-    differing = scratch.table(differing, "differing")
+    # Nothing after the join needs a digest's rows together, so Spark can split one with very many copies.
+    differing = scratch.table(hits.join(kept, "digest").where("content != kept").select("digest"), "differing")
     if not differing.take(1):
         return None
     return (
