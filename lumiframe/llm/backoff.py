@@ -37,7 +37,7 @@ def gram_keys(hashes: np.ndarray, lengths: np.ndarray, n: int) -> tuple[np.ndarr
     for i in range(n - 1):
         begin = starts[lengths > i] + i
         inside[begin] = False
-    last = np.flatnonzero(inside)
+    last = np.flatnonzero(inside).astype(np.int32)
     key = np.full(len(last), n, np.uint64)
     for i in range(n - 1, -1, -1):
         key = (key ^ hashes[last - i]) * np.uint64(0xBF58476D1CE4E5B9)
@@ -78,7 +78,7 @@ def token_blocks(df: DataFrame, key: str, text: str) -> DataFrame:
         size = number = 0
 
         def block() -> pd.DataFrame:
-            flat = np.concatenate(tokens) if tokens else np.zeros(0, np.int64)
+            flat = np.concatenate(tokens) if tokens else np.zeros(0, np.int32)
             return pd.DataFrame(
                 {
                     "block": [(TaskContext.get().partitionId() << 24) | number],
@@ -93,7 +93,7 @@ def token_blocks(df: DataFrame, key: str, text: str) -> DataFrame:
         for batch in batches:
             for i, t in zip(batch["id"], batch["text"]):
                 place = known.setdefault
-                own = np.array([place(w, len(known)) for w in words(t)], dtype=np.int64)
+                own = np.array([place(w, len(known)) for w in words(t)], dtype=np.int32)
                 ids.append(i)
                 tokens.append(own)
                 size += len(own)
@@ -114,14 +114,14 @@ class Grams:
     def __init__(self, row):
         self.lengths = unpack_numbers(row["lengths"]).astype(np.int64)
         vocabulary = np.frombuffer(row["vocabulary"], np.uint64)
-        tokens = unpack_numbers(row["tokens"]).astype(np.int64)
-        self.hashes = vocabulary[tokens] if len(tokens) else np.zeros(0, np.uint64)
+        tokens = unpack_numbers(row["tokens"])
+        self.hashes = vocabulary[tokens.astype(np.int32)] if len(tokens) else np.zeros(0, np.uint64)
 
     def of(self, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(different keys, place among them of each n-gram, place of its last word)."""
         keys, last = gram_keys(self.hashes, self.lengths, n)
         different, place = np.unique(keys, return_inverse=True)
-        return different, place, last
+        return different, place.astype(np.int32), last
 
 
 def explode_grams(blocks: DataFrame, order: int, bits: int) -> DataFrame:
@@ -179,7 +179,7 @@ def score_block(row, totals: dict[int, np.ndarray], order: int, discount: float,
     """Scores of a block's documents from the corpus counts of its n-grams, in key order by n."""
     grams = Grams(row)
     lengths = grams.lengths
-    owner = np.repeat(np.arange(len(lengths)), lengths)
+    owner = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)
     n_tokens = len(owner)
     others = np.maximum(n_all - (0 if own else lengths[owner]), 1).astype(float)
     score = np.zeros(n_tokens)
@@ -191,9 +191,11 @@ def score_block(row, totals: dict[int, np.ndarray], order: int, discount: float,
             # What the document itself holds of an n-gram does not count for it.
             pair = place.astype(np.int64) * len(lengths) + owner[last]
             _, at, repeats = np.unique(pair, return_inverse=True, return_counts=True)
-            total = total - repeats[at]
+            total -= repeats[at]
+            del pair, at, repeats
         count = np.zeros(n_tokens)
         count[last] = total
+        del keys, place, total
         if n == 1:
             seen = np.maximum(count, 0)
             score = np.log(np.where(seen > 0, seen, 0.5) / others)
