@@ -4,14 +4,15 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .html_tree import BLOCK, Element, parse
+from .html_tree import BLOCK, RAW, VOID, Element, parse
 from .scratch import Scratch
 
 #: Groups in which the partial wrappers of one host are merged before the last merge.
@@ -22,6 +23,8 @@ CONSTANT = 80
 CONSTANTS = 32
 #: Pages that must share a constant text before it counts as a part of the template.
 TEMPLATE_PAGES = 3
+#: Share of the pages of a host that have a mark before elements are aligned by it.
+COMMON_SHARE = 0.5
 
 # Fixed names of what is no article text, as element names and as words of class, id or role.
 OUTSIDE = frozenset("nav footer aside form script style noscript template iframe svg math button select textarea input menu dialog head title object canvas audio video search".split())
@@ -33,6 +36,8 @@ OUTSIDE_MARKS = frozenset(
     "@navigation @banner @contentinfo @complementary @search @form @alert @dialog @menu @menubar".split()
 )
 MAIN_MARKS = frozenset("@main @article main-content article-body article-content post-content entry-content post entry article content main".split())
+#: Names that align as themselves; all other ones are one kind, so that a wrapper has few kinds of children.
+KNOWN = BLOCK | RAW | VOID | OUTSIDE | frozenset("#root a abbr b bdi bdo big cite code del dfn em font i ins kbd label mark picture q rp rt ruby s samp small span strike strong sub sup time tt u var video".split())
 _PART = re.compile(r"[-_]+")
 
 
@@ -125,8 +130,16 @@ def merge(one: Node, other: Node, within_page: bool = False) -> Node:
     return Node(one.label, items, pages, one.chars + other.chars, _same_text(one.text, other.text, within_page))
 
 
-def page_node(element: Element) -> Node:
-    """Wrapper of one page, its repetitions folded."""
+def kind_of(element: Element, marks: frozenset | None) -> str:
+    """Label by which an element is aligned: its name and those marks that are common on the host or have a meaning."""
+    if marks is None:
+        return element.label
+    name = element.name if element.name in KNOWN else "x"
+    return " ".join([name, *(m for m in element.marks if m in marks or m in MAIN_MARKS or m in OUTSIDE_MARKS)])
+
+
+def page_node(element: Element, marks: frozenset | None = None) -> Node:
+    """Wrapper of one page, its repetitions folded; without ``marks`` all marks count."""
     items, texts, chars = [], [], 0
     for child in element.children:
         if isinstance(child, str):
@@ -134,13 +147,13 @@ def page_node(element: Element) -> Node:
                 texts.append(own)
                 chars += len(own)
         else:
-            node = page_node(child)
+            node = page_node(child, marks)
             items.append([node, False, False])
             chars += node.chars
     text = " ".join(texts) or None
     if text is not None:
         text = [text] if len(text) <= CONSTANT else True
-    return Node(element.label, fold(items), 1, chars, text)
+    return Node(kind_of(element, marks), fold(items), 1, chars, text)
 
 
 def is_outside(label: str, in_article: bool) -> bool:
@@ -158,32 +171,7 @@ def is_outside(label: str, in_article: bool) -> bool:
 
 def _is_main(label: str) -> bool:
     name, *marks = label.split()
-    return name in ("article", "main") or any(m in MAIN_MARKS for m in marks)
-
-
-def main_region(wrapper: Node) -> tuple[str, ...]:
-    """Labels from the root to the element that holds the article; the body where none is marked.
-
-    Of the marked elements outside menus and the like, the innermost that holds at
-    least half of all marked text, so that an article inside a frame of the same
-    kind is found and a list of articles is not cut to one of them.
-    """
-    marked: list[tuple[tuple[str, ...], Node]] = []
-
-    def walk(node: Node, path: tuple[str, ...]) -> None:
-        for child, _, _ in node.items:
-            if not is_outside(child.label, False):
-                here = (*path, child.label)
-                if _is_main(child.label):
-                    marked.append((here, child))
-                walk(child, here)
-
-    walk(wrapper, ())
-    most = max((n.chars for _, n in marked), default=0)
-    rich = [(path, n) for path, n in marked if 2 * n.chars >= most]
-    articles = [x for x in rich if x[0][-1].split()[0] == "article"]
-    chosen = max(articles or rich, key=lambda x: (len(x[0]), x[1].chars, x[0]), default=((), None))
-    return chosen[0]
+    return name in ("article", "main") or (name not in ("html", "body") and any(m in MAIN_MARKS for m in marks))
 
 
 def template_texts(wrapper: Node) -> set[tuple[tuple[str, ...], str]]:
@@ -203,44 +191,67 @@ def template_texts(wrapper: Node) -> set[tuple[tuple[str, ...], str]]:
 
 
 class Extractor:
-    """Article text of pages by the wrapper of their host."""
+    """Article text of pages by the wrapper of their host.
 
-    def __init__(self, packed: str):
-        wrapper = Node.unpacked(json.loads(packed))
-        self.region = main_region(wrapper)
-        # Without a marked region menus may be plain blocks; then the template's own texts go as well.
-        self.template = set() if self.region else template_texts(wrapper)
+    The regions of a page are its outermost marked elements outside menus and the
+    like. A page without text in one falls back to its body less the excluded parts
+    and the template's own texts, or to the marked elements inside an excluded
+    block where these hold more.
+    """
 
-    def text(self, page: str | None) -> str:
-        out: list[str] = []
-        self._walk(parse(page), (), not self.region, out)
-        return " ".join("".join(out).split())
+    def __init__(self, packed: str, marks: Iterable[str] | None = None):
+        self.wrapper = Node.unpacked(json.loads(packed))
+        self.marks = None if marks is None else frozenset(marks)
+        self.template = template_texts(self.wrapper)
 
-    def _walk(self, element: Element, path: tuple[str, ...], inside: bool, out: list[str]) -> None:
-        if inside and self.template:
-            own = " ".join(" ".join(c for c in element.children if isinstance(c, str)).split())
-            if own and (path, own) in self.template:
-                return
-        for child in element.children:
-            if isinstance(child, str):
-                if inside:
-                    out.append(child)
-                continue
-            label = child.label
-            if is_outside(label, inside and bool(self.region)):
-                if inside and child.name in BLOCK:
-                    out.append(" ")
+    def text(self, page: str | None) -> str:
+        root = parse(page)
+        if found := self._joined(self._regions(root)):
+            return found
+        body = self._text(root, (), False)
+        held = self._joined(self._regions(root, held=True))
+        return held if len(held) > len(body) else body
+
+    def _joined(self, regions: list) -> str:
+        return " ".join(t for t in (self._text(*r, True) for r in regions) if t)
+
+    def _regions(self, root: Element, held: bool = False) -> list[tuple[Element, tuple[str, ...]]]:
+        """Outermost marked elements; with ``held`` also those inside blocks that only their marks exclude."""
+        out, stack = [], [(root, ())]
+        while stack:
+            element, path = stack.pop()
+            if path and _is_main(path[-1]):
+                out.append((element, path))
                 continue
-            here = (*path, label)
-            within = inside or here == self.region
-            if not within and here != self.region[: len(here)]:
+            for child in reversed(element.children):
+                if not isinstance(child, str):
+                    label = kind_of(child, self.marks)
+                    if not is_outside(label, False) or (held and (child.name == "form" or child.name not in OUTSIDE)):
+                        stack.append((child, (*path, label)))
+        return out
+
+    def _text(self, element: Element, path: tuple[str, ...], article: bool) -> str:
+        """Text below an element; outside of articles without the texts of the template."""
+        out: list[str] = []
+        stack: list = [(element, path)]
+        while stack:
+            item = stack.pop()
+            if isinstance(item, str):
+                out.append(item)
                 continue
-            if within and child.name in BLOCK:
-                out.append(" ")
-                self._walk(child, here, within, out)
-                out.append(" ")
-            else:
-                self._walk(child, here, within, out)
+            element, path = item
+            own = "" if article else " ".join(" ".join(c for c in element.children if isinstance(c, str)).split())
+            mine = not own or (path, own) not in self.template
+            todo: list = []
+            for child in element.children:
+                if isinstance(child, str):
+                    todo.append(child if mine else " ")
+                    continue
+                label = kind_of(child, self.marks)
+                inner = [] if is_outside(label, article) else [(child, (*path, label))]
+                todo += [" ", *inner, " "] if child.name in BLOCK else inner
+            stack.extend(reversed(todo))
+        return " ".join("".join(out).split())
 
 
 def host_of(url: Column) -> Column:
@@ -256,8 +267,29 @@ def _merged(wrappers: Iterator[str]) -> str:
     return json.dumps(total.packed(), ensure_ascii=False)
 
 
+def common_marks(pages: DataFrame) -> DataFrame:
+    """(host, marks) from all (host, html) rows: the marks that half of the pages of a host have."""
+
+    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            known: Counter = Counter()
+            for host, page in zip(batch["host"], batch["html"]):
+                found, stack = {""}, [parse(page)]
+                while stack:
+                    element = stack.pop()
+                    found.update(element.marks)
+                    stack += [c for c in element.children if not isinstance(c, str)]
+                known.update((host, m) for m in found)
+            yield pd.DataFrame([(h, m, n) for (h, m), n in known.items()], columns=["host", "mark", "n"])
+
+    counts = pages.mapInPandas(counted, "host string, mark string, n long").groupBy("host", "mark").agg(F.sum("n").alias("n"))
+    totals = counts.where("mark = ''").select("host", F.col("n").alias("pages"))
+    shared = counts.join(totals, "host").where(F.col("n") >= COMMON_SHARE * F.col("pages"))
+    return shared.groupBy("host").agg(F.array_sort(F.collect_list("mark")).alias("marks"))
+
+
 def infer_wrappers(pages: DataFrame) -> DataFrame:
-    """(host, wrapper) from all (host, html) rows.
+    """(host, wrapper) from all (host, marks, html) rows.
 
     Every task aligns its pages one after the other into one wrapper a host; these
     few small wrappers are merged in two rounds, so no task ever holds the pages
@@ -267,8 +299,8 @@ def infer_wrappers(pages: DataFrame) -> DataFrame:
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known: dict[str, Node] = {}
         for batch in batches:
-            for host, page in zip(batch["host"], batch["html"]):
-                node = page_node(parse(page))
+            for host, marks, page in zip(batch["host"], batch["marks"], batch["html"]):
+                node = page_node(parse(page), frozenset(marks))
                 known[host] = merge(known[host], node) if host in known else node
         rows = sorted((h, json.dumps(n.packed(), ensure_ascii=False)) for h, n in known.items())
         yield pd.DataFrame(rows, columns=["host", "wrapper"])
@@ -285,13 +317,15 @@ def infer_wrappers(pages: DataFrame) -> DataFrame:
 def main_text(df: DataFrame, key: str = "page_id", url: str = "url", page: str = "html") -> DataFrame:
     """(key, url, text, n_chars) of every row of ``df``: the article text of its page.
 
-    A host's wrapper is inferred from all its pages; it names the region of the
-    article, and menus, headers, footers, sidebars, notices, adverts, forms,
-    scripts, styles and comments inside it are left out. Character references
-    are decoded, white space is one space, blocks are joined in page order.
+    A host's wrapper is inferred from all its pages by element names and the marks
+    that are common there. The article regions of each page are read without menus,
+    headers, footers, sidebars, notices, adverts, forms, scripts, styles and
+    comments; a page without such a region gives its body less these parts.
+    Character references are decoded, white space is one space, blocks are joined
+    in page order.
 
-    A null or empty page gives an empty text; a null URL is a host of its own, as
-    is one without a host; broken markup is read as far as it goes; null and
+    A null or empty page gives an empty text; null URLs and those without a host
+    share one wrapper; broken markup is read as far as it goes; null and
     repeated keys and repeated rows are each extracted; an empty table gives no
     rows; other columns play no part, whatever their names.
     """
@@ -299,15 +333,18 @@ def main_text(df: DataFrame, key: str = "page_id", url: str = "url", page: str =
     rows = df.select(
         F.col(key).alias("id"), F.col(url).alias("url"), host_of(F.col(url)).alias("host"), F.col(page).alias("html")
     )
-    wrappers = scratch.table(infer_wrappers(rows.select("host", "html")), "hosts")
+    # One row a host on the side of the marks and wrappers, so Spark can split a host that has a third of all pages.
+    marks = scratch.table(common_marks(rows.select("host", "html")), "marks")
+    wrappers = infer_wrappers(rows.join(marks, "host").select("host", "marks", "html"))
+    wrappers = scratch.table(wrappers.join(marks, "host"), "hosts")
 
     def extracted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known: tuple[str, Extractor] | None = None
         for batch in batches:
             texts = []
-            for packed, html in zip(batch["wrapper"], batch["html"]):
+            for packed, marks, html in zip(batch["wrapper"], batch["marks"], batch["html"]):
                 if known is None or known[0] != packed:
-                    known = (packed, Extractor(packed))
+                    known = (packed, Extractor(packed, marks))
                 texts.append(known[1].text(html))
             yield pd.DataFrame({"id": batch["id"], "url": batch["url"], "text": texts, "n_chars": [len(t) for t in texts]})
 
@@ -319,7 +356,6 @@ def main_text(df: DataFrame, key: str = "page_id", url: str = "url", page: str =
             T.StructField("n_chars", T.LongType()),
         ]
     )
-    # One row a host on the wrapper side, so Spark can split a host that has a third of all pages.
-    joined = rows.join(wrappers, "host").select("id", "url", "html", "wrapper")
+    joined = rows.join(wrappers, "host").select("id", "url", "html", "marks", "wrapper")
     named = T.StructType([T.StructField(n, f.dataType) for n, f in zip(("id", "url", "text", "n_chars"), schema)])
     return joined.mapInPandas(extracted, named).toDF(*schema.names)

@@ -122,3 +122,26 @@ def test_given_pages(spark, data):
         inner = re.search(r"<article>(.*)</article>", r.html or "", re.DOTALL)
         plain = re.sub(r"</?b>", "", inner[1]) if inner else ""
         assert found[r.page_id] == " ".join(h.unescape(re.sub(r"<[^>]*>", " ", plain)).split())
+
+
+def extracted(spark, pages, url="https://site.example.com/"):
+    """Texts of (page, ...) of one host, in order."""
+    df = spark.createDataFrame(list(enumerate(pages)), "page_id int, html string").selectExpr("page_id", f"'{url}' url", "html")
+    return [r.text for r in main_text(df).orderBy("page_id").collect()]
+
+
+def test_pages_of_one_host_with_marks_of_their_own(spark):
+    slugs = ["first", "second", "third", "fourth"]
+    bodies = [f"<body class='home-{s}'><article id='my-{s}-post' class='post category-{s}'><p>text of {s}</p></article></body>" for s in slugs]
+    other = ["<main><p>second template</p></main>", "<div class='entry-content'>third template</div>", "<p>no region</p>"]
+    pair = ["<article class='post a'>one</article><div>between</div><article class='post b'>two</article>"]
+    assert extracted(spark, bodies + other + pair) == [f"text of {s}" for s in slugs] + ["second template", "third template", "no region", "one two"]
+
+
+def test_wrapper_does_not_grow_with_page_marks():
+    marks = frozenset(["post"])
+    total = page_node(parse("<article class='post'>x</article>"), marks)
+    for i in range(200):
+        slug = "".join(chr(97 + int(d)) for d in str(i))
+        total = merge(total, page_node(parse(f"<article class='post {slug}'>{i}</article><x-{slug}>y</x-{slug}>"), marks))
+    assert labels(total.items) == [("article post", False, False), ("x", True, False)]
