@@ -6,6 +6,8 @@ import json
 import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -35,6 +37,19 @@ OUTSIDE_MARKS = frozenset(
     "comment comments commentlist reply replies respond disqus pagination pager toolbar "
     "@navigation @banner @contentinfo @complementary @search @form @alert @dialog @menu @menubar".split()
 )
+# Compound names that mean such a block; other compounds of the words above exclude only where the wrapper agrees.
+OUTSIDE_NAMES = frozenset(
+    "ad-box ad-slot ad-unit ad-container ad-wrapper ad-banner ad-block banner-ad side-bar sidebar-left sidebar-right left-sidebar "
+    "right-sidebar primary-sidebar secondary-sidebar widget-area site-header page-header main-header global-header site-footer "
+    "page-footer main-footer global-footer footer-widgets site-nav main-nav top-nav main-menu nav-menu nav-bar nav-links "
+    "site-navigation main-navigation post-navigation posts-navigation cookie-notice cookie-banner cookie-bar cookie-consent "
+    "cookie-popup consent-banner gdpr-notice gdpr-banner newsletter-signup newsletter-form newsletter-box subscribe-form "
+    "subscribe-box signup-form social-share social-sharing social-links social-icons social-media share-buttons share-links "
+    "share-bar share-box sharing-buttons related-posts related-articles related-links related-stories related-content "
+    "recommended-posts recommended-articles comment-list comment-form comments-area comments-list comments-section "
+    "comment-section comment-respond comment-reply reply-form modal-dialog modal-overlay popup-overlay".split()
+)
+NOISE = OUTSIDE_MARKS | OUTSIDE_NAMES
 MAIN_MARKS = frozenset("@main @article main-content article-body article-content post-content entry-content post entry article content main".split())
 #: Names that align as themselves; all other ones are one kind, so that a wrapper has few kinds of children.
 KNOWN = BLOCK | RAW | VOID | OUTSIDE | frozenset("#root a abbr b bdi bdo big cite code del dfn em font i ins kbd label mark picture q rp rt ruby s samp small span strike strong sub sup time tt u var video".split())
@@ -47,20 +62,21 @@ class Node:
     ``items`` is the sequence of its children in page order: [node, optional,
     repeated]. ``pages`` counts pages, ``chars`` the text below. ``text`` is the
     text slot: None without text, the sorted constants, or True where pages differ.
+    ``links`` counts the text in links.
     """
 
-    __slots__ = ("label", "items", "pages", "chars", "text")
+    __slots__ = ("label", "items", "pages", "chars", "links", "text")
 
-    def __init__(self, label: str, items=None, pages: int = 1, chars: int = 0, text=None):
-        self.label, self.items, self.pages, self.chars, self.text = label, items or [], pages, chars, text
+    def __init__(self, label: str, items=None, pages: int = 1, chars: int = 0, links: int = 0, text=None):
+        self.label, self.items, self.pages, self.chars, self.links, self.text = label, items or [], pages, chars, links, text
 
     def packed(self) -> list:
-        return [self.label, [[n.packed(), o, r] for n, o, r in self.items], self.pages, self.chars, self.text]
+        return [self.label, [[n.packed(), o, r] for n, o, r in self.items], self.pages, self.chars, self.links, self.text]
 
     @staticmethod
     def unpacked(data: list) -> Node:
-        label, items, pages, chars, text = data
-        return Node(label, [[Node.unpacked(n), o, r] for n, o, r in items], pages, chars, text)
+        label, items, *rest = data
+        return Node(label, [[Node.unpacked(n), o, r] for n, o, r in items], *rest)
 
 
 def _same_text(one, other, within_page: bool):
@@ -127,7 +143,8 @@ def merge(one: Node, other: Node, within_page: bool = False) -> Node:
     """Wrapper of two: texts that differ become a slot, children are aligned and folded."""
     items = fold(align(one.items, other.items, within_page))
     pages = max(one.pages, other.pages) if within_page else one.pages + other.pages
-    return Node(one.label, items, pages, one.chars + other.chars, _same_text(one.text, other.text, within_page))
+    text = _same_text(one.text, other.text, within_page)
+    return Node(one.label, items, pages, one.chars + other.chars, one.links + other.links, text)
 
 
 def kind_of(element: Element, marks: frozenset | None) -> str:
@@ -135,12 +152,12 @@ def kind_of(element: Element, marks: frozenset | None) -> str:
     if marks is None:
         return element.label
     name = element.name if element.name in KNOWN else "x"
-    return " ".join([name, *(m for m in element.marks if m in marks or m in MAIN_MARKS or m in OUTSIDE_MARKS)])
+    return " ".join([name, *(m for m in element.marks if m in marks or m in MAIN_MARKS or m in NOISE)])
 
 
 def page_node(element: Element, marks: frozenset | None = None) -> Node:
     """Wrapper of one page, its repetitions folded; without ``marks`` all marks count."""
-    items, texts, chars = [], [], 0
+    items, texts, chars, links = [], [], 0, 0
     for child in element.children:
         if isinstance(child, str):
             if own := " ".join(child.split()):
@@ -150,28 +167,68 @@ def page_node(element: Element, marks: frozenset | None = None) -> Node:
             node = page_node(child, marks)
             items.append([node, False, False])
             chars += node.chars
+            links += node.links
     text = " ".join(texts) or None
     if text is not None:
         text = [text] if len(text) <= CONSTANT else True
-    return Node(kind_of(element, marks), fold(items), 1, chars, text)
+    return Node(kind_of(element, marks), fold(items), 1, chars, chars if element.name == "a" else links, text)
+
+
+@dataclass(frozen=True)
+class Traits:
+    """What the name and marks of a label say."""
+
+    name: str
+    main: bool
+    marked: bool
+    noise: frozenset
+    compound: bool
 
 
-def is_outside(label: str, in_article: bool) -> bool:
+@lru_cache(maxsize=65536)
+def traits(label: str) -> Traits:
     name, *marks = label.split()
-    if name in OUTSIDE or (name == "header" and not in_article):
+    marked = any(m in MAIN_MARKS for m in marks)
+    main = name in ("article", "main") or (marked and name not in ("html", "body"))
+    whole = name in ("html", "body", "main")
+    noise = frozenset() if whole else frozenset(marks) & NOISE
+    parts = [_PART.split(m) for m in marks if m not in MAIN_MARKS]
+    compound = not whole and name != "article" and any(len(p) > 1 and not OUTSIDE_MARKS.isdisjoint(p) for p in parts)
+    return Traits(name, main, marked, noise, compound)
+
+
+def is_outside(label: str, in_article: bool, agreed: bool = False) -> bool:
+    """Whether an element is no article text: by its name, a whole word, or a part of a word where the wrapper agreed.
+
+    Words never exclude html, body or main, and an article only inside of another one.
+    """
+    t = traits(label)
+    if t.name in OUTSIDE or (t.name == "header" and not in_article):
         return True
-    for mark in marks:
-        if mark in MAIN_MARKS:
-            continue
-        words = {mark, *_PART.split(mark)}
-        if (words & OUTSIDE_MARKS) and not (in_article and words & OUTSIDE_MARKS == {"header"}):
-            return True
-    return False
+    if t.name == "article":
+        return in_article and bool(t.noise) and not t.marked
+    return bool(t.noise - {"header"} if in_article else t.noise) or (agreed and t.compound)
 
 
-def _is_main(label: str) -> bool:
-    name, *marks = label.split()
-    return name in ("article", "main") or (name not in ("html", "body") and any(m in MAIN_MARKS for m in marks))
+def agreed_blocks(wrapper: Node) -> set[tuple[str, ...]]:
+    """Paths of elements with a noise word in a compound name whose text is the same, or mostly links, on the host's pages.
+
+    An element that holds a marked one is never among them.
+    """
+    found: set[tuple[str, ...]] = set()
+
+    def walk(node: Node, path: tuple[str, ...]) -> tuple[bool, bool]:
+        same, main = node.text is not True, False
+        for child, _, _ in node.items:
+            below = walk(child, (*path, child.label))
+            same, main = same and below[0], main or below[1] or traits(child.label).main
+        if traits(node.label).compound and not main and node.chars and node.pages >= TEMPLATE_PAGES:
+            if same or 2 * node.links >= node.chars:
+                found.add(path)
+        return same, main
+
+    walk(wrapper, ())
+    return found
 
 
 def template_texts(wrapper: Node) -> set[tuple[tuple[str, ...], str]]:
@@ -203,6 +260,7 @@ class Extractor:
         self.wrapper = Node.unpacked(json.loads(packed))
         self.marks = None if marks is None else frozenset(marks)
         self.template = template_texts(self.wrapper)
+        self.agreed = agreed_blocks(self.wrapper)
 
     def text(self, page: str | None) -> str:
         root = parse(page)
@@ -220,13 +278,13 @@ class Extractor:
         out, stack = [], [(root, ())]
         while stack:
             element, path = stack.pop()
-            if path and _is_main(path[-1]):
+            if path and traits(path[-1]).main:
                 out.append((element, path))
                 continue
             for child in reversed(element.children):
                 if not isinstance(child, str):
                     label = kind_of(child, self.marks)
-                    if not is_outside(label, False) or (held and (child.name == "form" or child.name not in OUTSIDE)):
+                    if not is_outside(label, False, (*path, label) in self.agreed) or (held and (child.name == "form" or child.name not in OUTSIDE)):
                         stack.append((child, (*path, label)))
         return out
 
@@ -247,8 +305,8 @@ class Extractor:
                 if isinstance(child, str):
                     todo.append(child if mine else " ")
                     continue
-                label = kind_of(child, self.marks)
-                inner = [] if is_outside(label, article) else [(child, (*path, label))]
+                here = (*path, kind_of(child, self.marks))
+                inner = [] if is_outside(here[-1], article, here in self.agreed) else [(child, here)]
                 todo += [" ", *inner, " "] if child.name in BLOCK else inner
             stack.extend(reversed(todo))
         return " ".join("".join(out).split())

@@ -145,3 +145,35 @@ def test_wrapper_does_not_grow_with_page_marks():
         slug = "".join(chr(97 + int(d)) for d in str(i))
         total = merge(total, page_node(parse(f"<article class='post {slug}'>{i}</article><x-{slug}>y</x-{slug}>"), marks))
     assert labels(total.items) == [("article post", False, False), ("x", True, False)]
+
+
+def by_wrapper(bodies):
+    """Texts of the pages of one host, all marks kept."""
+    import json
+
+    packed = _merged(json.dumps(node(b).packed()) for b in bodies)
+    return [Extractor(packed).text(b) for b in bodies]
+
+
+@pytest.mark.parametrize(
+    "body",
+    [
+        "<body class='has-sidebar'><p>{}</p></body>",
+        "<body class='no-sidebar'><article>{}</article></body>",
+        "<article class='post comments-open'>{}</article>",
+        "<article class='social'>{}</article>",
+        "<article><p class='social-policy'>{}</p></article>",
+        "<article><div class='share-price'>{}</div></article>",
+        "<div class='layout-sidebar'><main>{}</main></div>",
+        "<article><section class='related-work'>{}</section></article>",
+        "<div class='widget'><article>{}</article></div>",
+    ],
+)
+def test_a_word_in_a_name_cuts_no_text(body):
+    assert by_wrapper([body.format(f"text {w}") for w in "abcd"]) == [f"text {w}" for w in "abcd"]
+
+
+def test_a_compound_name_excludes_where_the_wrapper_agrees():
+    same = "<article>{0}<div class='share-tools-x'>Tell others</div><div class='related-x'><a href=/{0}>See {0}</a></div></article>"
+    assert by_wrapper([same.format(w) for w in "abcd"]) == list("abcd")
+    assert by_wrapper(["<article>a<div class='cookie-notice'>x</div></article>", "<article>b<div class='ad-box'>y</div></article>"]) == ["a", "b"]
