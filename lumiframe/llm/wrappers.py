@@ -60,7 +60,7 @@ class Node:
     """One element of a wrapper.
 
     ``items`` is the sequence of its children in page order: [node, optional,
-    repeated]. ``pages`` counts pages, ``chars`` the text below. ``text`` is the
+    repeated]. ``pages`` counts pages, ``chars`` the text below less what is no article text. ``text`` is the
     text slot: None without text, the sorted constants, or True where pages differ.
     ``links`` counts the text in links.
     """
@@ -166,8 +166,9 @@ def page_node(element: Element, marks: frozenset | None = None) -> Node:
         else:
             node = page_node(child, marks)
             items.append([node, False, False])
-            chars += node.chars
-            links += node.links
+            if not is_outside(node.label, True):
+                chars += node.chars
+                links += node.links
     text = " ".join(texts) or None
     if text is not None:
         text = [text] if len(text) <= CONSTANT else True
@@ -231,6 +232,34 @@ def agreed_blocks(wrapper: Node) -> set[tuple[str, ...]]:
     return found
 
 
+def frames(wrapper: Node) -> set[tuple[str, ...]]:
+    """Paths of marked elements that hold other marked ones and besides these only the template's text and noise."""
+    found: set[tuple[str, ...]] = set()
+    agreed = agreed_blocks(wrapper)
+
+    def walk(node: Node, path: tuple[str, ...], inside: bool) -> tuple[bool, bool]:
+        """Whether there is text of single pages outside of marked elements, and whether there are such elements."""
+        own, main = not is_template(node), False
+        for child, _, _ in node.items:
+            here = (*path, child.label)
+            if is_outside(child.label, inside, here in agreed):
+                continue
+            marked = traits(child.label).main
+            below = walk(child, here, inside or marked)
+            own, main = own or (below[0] and not marked), main or marked or below[1]
+        if main and not own and traits(node.label).main:
+            found.add(path)
+        return own, main
+
+    walk(wrapper, (), False)
+    return found
+
+
+def is_template(node: Node) -> bool:
+    """Whether the own text of an element, if it has any, is the same on enough pages."""
+    return node.text is None or (isinstance(node.text, list) and node.pages >= TEMPLATE_PAGES)
+
+
 def template_texts(wrapper: Node) -> set[tuple[tuple[str, ...], str]]:
     """(labels, text) of short texts that every page of a host repeats, where its pages differ at all."""
     found, varies = set(), False
@@ -251,7 +280,8 @@ class Extractor:
     """Article text of pages by the wrapper of their host.
 
     The regions of a page are its outermost marked elements outside menus and the
-    like. A page without text in one falls back to its body less the excluded parts
+    like, but the inner ones of a frame that adds only text of the template. A page
+    without text in one falls back to its body less the excluded parts
     and the template's own texts, or to the marked elements inside an excluded
     block where these hold more.
     """
@@ -261,24 +291,26 @@ class Extractor:
         self.marks = None if marks is None else frozenset(marks)
         self.template = template_texts(self.wrapper)
         self.agreed = agreed_blocks(self.wrapper)
+        self.frames = frames(self.wrapper)
 
     def text(self, page: str | None) -> str:
         root = parse(page)
-        if found := self._joined(self._regions(root)):
-            return found
+        for within in (True, False):
+            if found := self._joined(self._regions(root, within)):
+                return found
         body = self._text(root, (), False)
-        held = self._joined(self._regions(root, held=True))
+        held = self._joined(self._regions(root, False, held=True))
         return held if len(held) > len(body) else body
 
     def _joined(self, regions: list) -> str:
         return " ".join(t for t in (self._text(*r, True) for r in regions) if t)
 
-    def _regions(self, root: Element, held: bool = False) -> list[tuple[Element, tuple[str, ...]]]:
-        """Outermost marked elements; with ``held`` also those inside blocks that only their marks exclude."""
+    def _regions(self, root: Element, within: bool, held: bool = False) -> list[tuple[Element, tuple[str, ...]]]:
+        """Outermost marked elements, with ``within`` those inside of frames; with ``held`` also those inside blocks that only their marks exclude."""
         out, stack = [], [(root, ())]
         while stack:
             element, path = stack.pop()
-            if path and traits(path[-1]).main:
+            if path and traits(path[-1]).main and not (within and path in self.frames):
                 out.append((element, path))
                 continue
             for child in reversed(element.children):

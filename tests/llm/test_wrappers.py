@@ -177,3 +177,14 @@ def test_a_compound_name_excludes_where_the_wrapper_agrees():
     same = "<article>{0}<div class='share-tools-x'>Tell others</div><div class='related-x'><a href=/{0}>See {0}</a></div></article>"
     assert by_wrapper([same.format(w) for w in "abcd"]) == list("abcd")
     assert by_wrapper(["<article>a<div class='cookie-notice'>x</div></article>", "<article>b<div class='ad-box'>y</div></article>"]) == ["a", "b"]
+
+
+def test_the_outermost_region_is_read_whole():
+    text = "title {0} lead {0} " + "most of it {0} " * 6 + "the rest {0} " * 3
+    body = "<main><h1>title {0}</h1><p>lead {0}</p><div class='content'>" + "most of it {0} " * 6 + "</div><p>" + "the rest {0} " * 3 + "</p></main>"
+    assert by_wrapper([body.format(w) for w in "abcd"]) == [text.format(w).strip() for w in "abcd"]
+    replies = "<article>story {0}" + "<article class='reply'>an answer of some length {0}</article>" * 9 + "</article>"
+    assert by_wrapper([replies.format(w) for w in "abcd"]) == [f"story {w}" for w in "abcd"]
+    frame = "<div id='content'><p>Our motto</p><article>story {0}</article></div>"
+    assert by_wrapper([frame.format(w) for w in "abcd"]) == [f"story {w}" for w in "abcd"]
+    assert by_wrapper([frame.format(w) for w in "abcd"] + ["<div id='content'><p>alone</p></div>"])[-1] == "alone"
