@@ -8,6 +8,7 @@ from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from hashlib import blake2b
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -19,7 +20,7 @@ from .scratch import Scratch
 
 #: Groups in which the partial wrappers of one host are merged before the last merge.
 PARTS = 64
-#: Constant texts that are kept for comparison; longer ones count as variable.
+#: Constant texts that are kept for comparison; of longer ones a digest is kept.
 CONSTANT = 80
 #: Constant texts of a repeated element that are kept; with more it counts as variable.
 CONSTANTS = 32
@@ -61,17 +62,19 @@ class Node:
 
     ``items`` is the sequence of its children in page order: [node, optional,
     repeated]. ``pages`` counts pages, ``chars`` the text below less what is no article text. ``text`` is the
-    text slot: None without text, the sorted constants, or True where pages differ.
-    ``links`` counts the text in links.
+    text slot: None without text, the sorted constants (numbers are digests of long
+    ones), or True where pages differ. ``links`` counts the text in links. ``seen``
+    are the smallest digests of pages that have own text here, TEMPLATE_PAGES at most.
     """
 
-    __slots__ = ("label", "items", "pages", "chars", "links", "text")
+    __slots__ = ("label", "items", "pages", "chars", "links", "text", "seen")
 
-    def __init__(self, label: str, items=None, pages: int = 1, chars: int = 0, links: int = 0, text=None):
+    def __init__(self, label: str, items=None, pages: int = 1, chars: int = 0, links: int = 0, text=None, seen=()):
         self.label, self.items, self.pages, self.chars, self.links, self.text = label, items or [], pages, chars, links, text
+        self.seen = seen
 
     def packed(self) -> list:
-        return [self.label, [[n.packed(), o, r] for n, o, r in self.items], self.pages, self.chars, self.links, self.text]
+        return [self.label, [[n.packed(), o, r] for n, o, r in self.items], self.pages, self.chars, self.links, self.text, list(self.seen)]
 
     @staticmethod
     def unpacked(data: list) -> Node:
@@ -86,7 +89,7 @@ def _same_text(one, other, within_page: bool):
     if one is True or other is True:
         return True
     if within_page:
-        both = sorted({*one, *other})
+        both = sorted({*one, *other}, key=str)
         return both if len(both) <= CONSTANTS else True
     return one if one == other else True
 
@@ -144,7 +147,11 @@ def merge(one: Node, other: Node, within_page: bool = False) -> Node:
     items = fold(align(one.items, other.items, within_page))
     pages = max(one.pages, other.pages) if within_page else one.pages + other.pages
     text = _same_text(one.text, other.text, within_page)
-    return Node(one.label, items, pages, one.chars + other.chars, one.links + other.links, text)
+    if within_page:
+        seen = other.seen if one.text is None else one.seen
+    else:
+        seen = sorted({*one.seen, *other.seen})[:TEMPLATE_PAGES]
+    return Node(one.label, items, pages, one.chars + other.chars, one.links + other.links, text, seen)
 
 
 def kind_of(element: Element, marks: frozenset | None) -> str:
@@ -155,24 +162,44 @@ def kind_of(element: Element, marks: frozenset | None) -> str:
     return " ".join([name, *(m for m in element.marks if m in marks or m in MAIN_MARKS or m in NOISE)])
 
 
+def digest(text: str) -> int:
+    return int.from_bytes(blake2b(text.encode("utf-8", "surrogatepass"), digest_size=6).digest(), "big")
+
+
 def page_node(element: Element, marks: frozenset | None = None) -> Node:
-    """Wrapper of one page, its repetitions folded; without ``marks`` all marks count."""
-    items, texts, chars, links = [], [], 0, 0
-    for child in element.children:
-        if isinstance(child, str):
-            if own := " ".join(child.split()):
-                texts.append(own)
-                chars += len(own)
-        else:
-            node = page_node(child, marks)
-            items.append([node, False, False])
-            if not is_outside(node.label, True):
-                chars += node.chars
-                links += node.links
-    text = " ".join(texts) or None
-    if text is not None:
-        text = [text] if len(text) <= CONSTANT else True
-    return Node(kind_of(element, marks), fold(items), 1, chars, chars if element.name == "a" else links, text)
+    """Wrapper of one page, its repetitions folded; without ``marks`` all marks count.
+
+    The page's digest is that of its text outside of menus and the like, so that
+    copies of a page count once.
+    """
+    words: list[str] = []
+    seen: list[int] = []  # filled at the end, for all nodes
+
+    def walk(element: Element, label: str, outside: bool) -> Node:
+        items, texts, chars, links = [], [], 0, 0
+        for child in element.children:
+            if isinstance(child, str):
+                if own := " ".join(child.split()):
+                    texts.append(own)
+                    chars += len(own)
+                    if not outside:
+                        words.append(own)
+            else:
+                kind = kind_of(child, marks)
+                out = is_outside(kind, True)
+                node = walk(child, kind, outside or out)
+                items.append([node, False, False])
+                if not out:
+                    chars += node.chars
+                    links += node.links
+        text = " ".join(texts) or None
+        if text is not None:
+            text = [text if len(text) <= CONSTANT else digest(text)]
+        return Node(label, fold(items), 1, chars, chars if element.name == "a" else links, text, seen if text else ())
+
+    total = walk(element, kind_of(element, marks), False)
+    seen.append(digest(" ".join(words)))
+    return total
 
 
 @dataclass(frozen=True)
@@ -218,15 +245,15 @@ def agreed_blocks(wrapper: Node) -> set[tuple[str, ...]]:
     """
     found: set[tuple[str, ...]] = set()
 
-    def walk(node: Node, path: tuple[str, ...]) -> tuple[bool, bool]:
-        same, main = node.text is not True, False
+    def walk(node: Node, path: tuple[str, ...]) -> tuple[bool, bool, bool]:
+        """Whether all text is the template's, is on enough pages, and whether there are marked elements below."""
+        same, often, main = is_template(node), len(node.seen) >= TEMPLATE_PAGES, False
         for child, _, _ in node.items:
             below = walk(child, (*path, child.label))
-            same, main = same and below[0], main or below[1] or traits(child.label).main
-        if traits(node.label).compound and not main and node.chars and node.pages >= TEMPLATE_PAGES:
-            if same or 2 * node.links >= node.chars:
-                found.add(path)
-        return same, main
+            same, often, main = same and below[0], often or below[1], main or below[2] or traits(child.label).main
+        if traits(node.label).compound and not main and often and (same or 2 * node.links >= node.chars):
+            found.add(path)
+        return same, often, main
 
     walk(wrapper, ())
     return found
@@ -256,24 +283,22 @@ def frames(wrapper: Node) -> set[tuple[str, ...]]:
 
 
 def is_template(node: Node) -> bool:
-    """Whether the own text of an element, if it has any, is the same on enough pages."""
-    return node.text is None or (isinstance(node.text, list) and node.pages >= TEMPLATE_PAGES)
+    """Whether the own text of an element, if it has any, is the same on enough pages that differ in other text."""
+    return node.text is None or (isinstance(node.text, list) and len(node.seen) >= TEMPLATE_PAGES)
 
 
 def template_texts(wrapper: Node) -> set[tuple[tuple[str, ...], str]]:
-    """(labels, text) of short texts that every page of a host repeats, where its pages differ at all."""
-    found, varies = set(), False
+    """(labels, text) of short texts that the pages of a host repeat and that differ in other text."""
+    found = set()
 
     def walk(node: Node, path: tuple[str, ...]) -> None:
-        nonlocal varies
-        varies |= node.text is True
-        if isinstance(node.text, list) and node.pages >= TEMPLATE_PAGES:
-            found.update((path, text) for text in node.text)
+        if node.text and is_template(node):
+            found.update((path, text) for text in node.text if isinstance(text, str))
         for child, _, _ in node.items:
             walk(child, (*path, child.label))
 
     walk(wrapper, ())
-    return found if varies else set()
+    return found
 
 
 class Extractor:

@@ -188,3 +188,14 @@ def test_the_outermost_region_is_read_whole():
     frame = "<div id='content'><p>Our motto</p><article>story {0}</article></div>"
     assert by_wrapper([frame.format(w) for w in "abcd"]) == [f"story {w}" for w in "abcd"]
     assert by_wrapper([frame.format(w) for w in "abcd"] + ["<div id='content'><p>alone</p></div>"])[-1] == "alone"
+
+
+def test_copies_of_a_page_are_no_template():
+    long = "a sentence that is repeated until it is long enough " * 3
+    copy = f"<div><h2>The title</h2><p>{long}</p><div>A short block</div></div>"
+    text = " ".join(f"The title {long} A short block".split())
+    assert by_wrapper([copy] * 5) == [text] * 5
+    others = [f"<table><tr><td>{w} {long}</table>" for w in "abc"]
+    assert by_wrapper([copy] * 5 + others)[:5] == [text] * 5
+    menus = [f"<div>Home</div><p>{w} {long}</p>" for w in "abc"]
+    assert by_wrapper(menus) == [f"{w} {' '.join(long.split())}" for w in "abc"]
