@@ -26,6 +26,10 @@ CONSTANT = 80
 CONSTANTS = 32
 #: Pages that must share a constant text before it counts as a part of the template.
 TEMPLATE_PAGES = 3
+#: Levels of a page that are aligned; below them it is read, but no part of the wrapper.
+LEVELS = 48
+#: Groups inside of groups of one sequence; deeper ones fold by label alone.
+NESTED = 6
 #: Share of the pages of a host that have a mark before elements are aligned by it.
 COMMON_SHARE = 0.5
 
@@ -121,7 +125,7 @@ def align(one: list, other: list, within_page: bool = False) -> list:
     return out
 
 
-def fold(items: list) -> list:
+def fold(items: list, nested: int = 0) -> list:
     """The sequence with every repeated label folded into one repeated group.
 
     At the first label that comes again, the stretches that begin with it are
@@ -135,11 +139,21 @@ def fold(items: list) -> list:
     first = next((i for i, item in enumerate(items) if len(at[item[0].label]) > 1), None)
     if first is None:
         return items
+    if nested == NESTED:
+        return [_folded([items[i] for i in places]) for places in at.values()]
     starts = at[items[first][0].label]
-    group = fold(items[starts[0] : starts[1]])
+    group = fold(items[starts[0] : starts[1]], nested + 1)
     for a, b in zip(starts[1:], [*starts[2:], len(items)]):
-        group = fold(align(group, fold(items[a:b]), True))
-    return fold(items[:first] + [[n, o, True] for n, o, _ in group])
+        group = fold(align(group, fold(items[a:b], nested + 1), True), nested + 1)
+    return items[:first] + [[n, o, True] for n, o, _ in group]  # no label of the group comes before it
+
+
+def _folded(same: list) -> list:
+    """Items of one label as one."""
+    total = same[0][0]
+    for node, _, _ in same[1:]:
+        total = merge(total, node, True)
+    return [total, True, len(same) > 1 or same[0][2]]
 
 
 def merge(one: Node, other: Node, within_page: bool = False) -> Node:
@@ -172,34 +186,43 @@ def page_node(element: Element, marks: frozenset | None = None) -> Node:
     The page's digest is that of its text outside of menus and the like, so that
     copies of a page count once.
     """
+    # Every element after its parent: name, parent's place, level, label, whether it is no article text, own text.
+    found: list[tuple[str, int, int, str, bool, str]] = []
     words: list[str] = []
-    seen: list[int] = []  # filled at the end, for all nodes
-
-    def walk(element: Element, label: str, outside: bool) -> Node:
-        items, texts, chars, links = [], [], 0, 0
-        for child in element.children:
-            if isinstance(child, str):
-                if own := " ".join(child.split()):
-                    texts.append(own)
-                    chars += len(own)
-                    if not outside:
-                        words.append(own)
-            else:
-                kind = kind_of(child, marks)
-                out = is_outside(kind, True)
-                node = walk(child, kind, outside or out)
-                items.append([node, False, False])
-                if not out:
-                    chars += node.chars
-                    links += node.links
-        text = " ".join(texts) or None
-        if text is not None:
-            text = [text if len(text) <= CONSTANT else digest(text)]
-        return Node(label, fold(items), 1, chars, chars if element.name == "a" else links, text, seen if text else ())
-
-    total = walk(element, kind_of(element, marks), False)
-    seen.append(digest(" ".join(words)))
-    return total
+    stack: list = [(element, 0, 0, kind_of(element, marks), False, False)]
+    while stack:
+        element, parent, level, kind, outside, below = stack.pop()
+        texts = [c for c in element.children if isinstance(c, str)]
+        own = " ".join(" ".join(texts).split()) if texts else ""
+        if own and not below:
+            words.append(own)
+        if len(texts) < len(element.children):
+            place = len(found)
+            for child in reversed(element.children):
+                if not isinstance(child, str):
+                    label = kind_of(child, marks)
+                    out = is_outside(label, True)
+                    stack.append((child, place, level + 1, label, out, below or out))
+        found.append((element.name, parent, level, kind, outside, own))
+    seen = [digest(" ".join(words))]
+    items: list[list] = [[] for _ in found]
+    sizes = [[0, 0] for _ in found]  # characters below and those of them in links
+    for place in range(len(found) - 1, -1, -1):
+        name, parent, level, kind, outside, own = found[place]
+        chars, links = sizes[place]
+        deep = level == LEVELS and chars > 0
+        chars += len(own)
+        links = chars if name == "a" else links
+        if place and not outside:
+            sizes[parent][0] += chars
+            sizes[parent][1] += links
+        if level <= LEVELS:
+            text = True if deep else [own if len(own) <= CONSTANT else digest(own)] if own else None
+            node = Node(kind, fold(items[place][::-1]), 1, chars, links, text, seen if text else ())
+            items[place] = []
+            if not place:
+                return node
+            items[parent].append([node, False, False])
 
 
 @dataclass(frozen=True)
@@ -341,8 +364,8 @@ class Extractor:
             for child in reversed(element.children):
                 if not isinstance(child, str):
                     label = kind_of(child, self.marks)
-                    if not is_outside(label, False, (*path, label) in self.agreed) or (held and (child.name == "form" or child.name not in OUTSIDE)):
-                        stack.append((child, (*path, label)))
+                    if not is_outside(label, False, (*path[:LEVELS], label) in self.agreed) or (held and (child.name == "form" or child.name not in OUTSIDE)):
+                        stack.append((child, (*path[:LEVELS], label)))
         return out
 
     def _text(self, element: Element, path: tuple[str, ...], article: bool) -> str:
@@ -362,7 +385,7 @@ class Extractor:
                 if isinstance(child, str):
                     todo.append(child if mine else " ")
                     continue
-                here = (*path, kind_of(child, self.marks))
+                here = (*path[:LEVELS], kind_of(child, self.marks))
                 inner = [] if is_outside(here[-1], article, here in self.agreed) else [(child, here)]
                 todo += [" ", *inner, " "] if child.name in BLOCK else inner
             stack.extend(reversed(todo))
@@ -440,7 +463,7 @@ def main_text(df: DataFrame, key: str = "page_id", url: str = "url", page: str =
     in page order.
 
     A null or empty page gives an empty text; null URLs and those without a host
-    share one wrapper; broken markup is read as far as it goes; null and
+    share one wrapper; broken markup is read as far as it goes, at any depth; null and
     repeated keys and repeated rows are each extracted; an empty table gives no
     rows; other columns play no part, whatever their names.
     """

@@ -199,3 +199,16 @@ def test_copies_of_a_page_are_no_template():
     assert by_wrapper([copy] * 5 + others)[:5] == [text] * 5
     menus = [f"<div>Home</div><p>{w} {long}</p>" for w in "abc"]
     assert by_wrapper(menus) == [f"{w} {' '.join(long.split())}" for w in "abc"]
+
+
+def test_deep_pages(spark):
+    kinds = ["<div>", "<span>", "<font>", "<b>", "<i class=c>"]
+    deep = [f"<article>{k * 5000}deep {i}</article>" for i, k in enumerate(kinds)] + ["<p>x</p>" + "<div>" * 5000 + "deep 5"]
+    flat = ["<article>flat</article>"]
+    assert extracted(spark, deep + flat) == [f"deep {i}" for i in range(5)] + ["x deep 5", "flat"]
+
+
+def test_many_nested_groups():
+    names = [f"zz{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(600)]
+    page = "".join(f"<{n}>x</{n}>" for n in [*names, *names[::-1]])
+    assert by_wrapper([page] * 2) == ["x" * 1200] * 2
