@@ -11,11 +11,14 @@ from pyspark.sql import functions as F
 from . import backoff, mixing
 from .decontaminate import leaks
 from .exact_dedup import exact_dedup
+from .prefix_counts import token_counts
 from .quality import quality
+from .repeats import greatest, planted, word_runs
 from .secrets import secrets
 from .simhash import simhash_components
 from .token_files import tokenize_to_files
 from .toxicity import toxicity
+from .variants import spelling_variants
 from .wrappers import main_text
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -86,5 +89,32 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(table(spark, sf_dir, "documents"), "doc_id", "text", shingle=3, max_bits=3)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_exact_dedup, op2_backoff_scores, op3_decontamination, op4_token_files, op5_toxicity, op6_quality_trees, op7_source_mixing, op8_html_wrappers, op9_secret_scan, op10_simhash_near_dedup)}
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of whole texts out of a stored table of all prefixes: see ``prefix_counts.token_counts``."""
+    return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), limit=1024)
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of 24 words and three periods or more, with planted tails: see ``repeats.word_runs``."""
+    found = word_runs(planted(table(spark, sf_dir, "documents")), least=24, times=3)
+    line = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    best = found.withColumn("best", greatest(F.col("runs")))
+    return best.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        "best.start",
+        "best.length",
+        "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(line, "").cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near words of whole texts and their most frequent forms: see ``variants.spelling_variants``."""
+    return spelling_variants(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_exact_dedup, op2_backoff_scores, op3_decontamination, op4_token_files, op5_toxicity, op6_quality_trees, op7_source_mixing, op8_html_wrappers, op9_secret_scan, op10_simhash_near_dedup, op11_token_counts, op12_periodic_runs, op13_spelling_variants)}
 ORACLES: dict[str, str] = {"op1_exact_dedup": OP1_SQL, "op2_backoff_scores": backoff.SQL, "op7_source_mixing": mixing.SQL}
