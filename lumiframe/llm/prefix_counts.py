@@ -116,7 +116,7 @@ class PrefixCounter:
         counts, last = [0], [0]
         number, pairs, longest = self.number.get, self.pairs, self.longest
         for end in range(1, len(data) + 1):
-            for start in range(max(0, end - longest), end):
+            for start in range(end - 1, max(0, end - longest) - 1, -1):  # most last tokens are short
                 token = number(data[start:end])
                 if token is None:
                     continue
