@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
@@ -10,7 +11,6 @@ from math import inf
 
 import numpy as np
 import pandas as pd
-import regex
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,19 +18,22 @@ from tokenizers import Tokenizer
 
 from .scratch import Scratch
 
-#: Bytes of units and of pairs that a Python worker remembers; a full cache starts again empty.
-UNIT_BYTES, PAIRS = 96 << 20, 500_000
+#: Bytes of units, in each of two generations, and pairs that a Python worker remembers. A full generation
+#: becomes the older one, out of which units that come again move up.
+UNIT_BYTES, PAIRS = 80 << 20, 500_000
 #: Longer units are computed each time.
 UNIT_CHARS = 64
 #: Bytes beside its characters that a remembered unit takes.
 UNIT_COST = 250
 
+# Classes of the characters below U+0250 and of general punctuation; any other one is replaced by one of its class.
+_SPACES, _LETTERS, _NUMBERS = "\t-\r \x85\xa0 -     ", "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-ɏ", "0-9\xb2\xb3\xb9\xbc-\xbe"
 # White space and the piece after it. A contraction begins a piece only where no space joins its apostrophe.
-_UNIT = regex.compile(r"\s*(?:(?<! )'(?:[stmd]|re|ve|ll)|\p{L}+|\p{N}+|[^\s\p{L}\p{N}]+)|\s+")
-_SPACE = regex.compile(r"\s*")
-_CONTRACTION = regex.compile(r"'(?:[stmd]|re|ve|ll)")
-# Characters whose class may depend on the version of Unicode.
-_LATER = regex.compile(r"[^\u0000-ɏ -⁯]")
+_PIECE = f"(?<! )'(?:[stmd]|re|ve|ll)|[{_LETTERS}]+|[{_NUMBERS}]+|[^{_SPACES}{_LETTERS}{_NUMBERS}]+"
+_UNIT = re.compile(f"[{_SPACES}]*(?:{_PIECE})|[{_SPACES}]+")
+_SPACE = re.compile(f"[{_SPACES}]*")
+_CONTRACTION = re.compile(r"'(?:[stmd]|re|ve|ll)")
+_LATER = re.compile(r"[^\u0000-ɏ -⁯]")
 
 
 class PrefixCounter:
@@ -60,6 +63,7 @@ class PrefixCounter:
         self._drop_unreached()
         self.pairs: dict[int, bool] = {}
         self.units: dict[str, bytes | None] = {}
+        self.older: dict[str, bytes | None] = {}
         self.held = 0
         self.classes: dict[int, str] = {}
 
@@ -67,7 +71,7 @@ class PrefixCounter:
         content = sorted((t["content"] for t in tokens), key=len, reverse=True)
         if any(t[k] for t in tokens for k in ("single_word", "lstrip", "rstrip")) or any(a != b and b in a for a in content for b in content):
             raise ValueError("added tokens must stand for themselves only")
-        self.added = regex.compile("|".join(map(regex.escape, content))) if content else None
+        self.added = re.compile("|".join(map(re.escape, content))) if content else None
 
     def _merges(self, merges: list) -> None:
         """Tokens are numbered by the order in which they arise, single bytes first."""
@@ -159,13 +163,14 @@ class PrefixCounter:
         return [b - a for a, b in zip(counts, counts[1:])]
 
     def _remember(self, unit: str, shape: str) -> None:
-        if self.held > UNIT_BYTES:
-            self.units.clear()
-            self.held = 0
-        try:
-            self.units[unit] = array("b", self._changes(unit, shape)).tobytes()
-        except OverflowError:
-            self.units[unit] = None
+        older = self.older.get(unit, b"")
+        if older != b"":
+            self.units[unit] = older
+        else:
+            try:
+                self.units[unit] = array("b", self._changes(unit, shape)).tobytes()
+            except OverflowError:
+                self.units[unit] = None
         self.held += UNIT_COST + 2 * len(unit)
 
     def _class(self, code: int) -> str:
@@ -187,14 +192,15 @@ class PrefixCounter:
             units, shapes = [text[a:b] for a, b in cuts], [shape[a:b] for a, b in cuts]
         else:
             units = shapes = _UNIT.findall(text)
-        missing = {u: s for u, s in zip(units, shapes) if u not in self.units}
-        short = sum(UNIT_COST + 2 * len(u) for u in missing)
-        if self.held + short > UNIT_BYTES:  # none may go while this text needs it
-            self.units.clear()
-            self.held = 0
-            missing = dict(zip(units, shapes))
+        distinct = set(units)
+        missing = distinct.difference(self.units)
+        if self.held + sum(map(len, missing)) * 2 + UNIT_COST * len(missing) > UNIT_BYTES:  # none may go while this text needs it
+            self.older, self.units, self.held = self.units, {}, 0
+            missing = distinct
+        shape_of = dict(zip(units, shapes)) if units is not shapes else None
         own: dict[str, list[int]] = {}
-        for u, s in missing.items():
+        for u in missing:
+            s = shape_of[u] if shape_of else u
             if len(u) > UNIT_CHARS or self.held > UNIT_BYTES:
                 own[u] = self._changes(u, s)
             else:

@@ -2,6 +2,7 @@
 
 import json
 import random
+import re
 
 import numpy as np
 import public_tokenizers
@@ -95,3 +96,11 @@ def test_query_equals_the_library(spark, data, library):
         r = rows[doc]
         assert (r["n_bytes"], r["n_tokens"], r["over_limit"]) == (len((text or "").encode()), n, n > 1024)
         assert r["fit_chars"] <= len(text or "") and (r["over_limit"] or r["fit_chars"] == len(text or ""))
+
+
+def test_classes_of_plain_characters_equal_the_library():
+    counter = PrefixCounter(PATH)
+    for code in (*range(0x250), *range(0x2000, 0x2070)):
+        char = chr(code)
+        kinds = [k for k, s in (("a", pc._LETTERS), ("1", pc._NUMBERS), ("\n", pc._SPACES)) if re.match(f"[{s}]", char)]
+        assert not pc._LATER.match(char) and (kinds or ["!"]) == [counter._class(code)], hex(code)
