@@ -93,25 +93,37 @@ def _grams(word: str, rank) -> list[tuple[str, int]]:
     return [x for x in ranked if x[0] <= last]
 
 
+def _number(hashed: xxhash.xxh64) -> int:
+    return hashed.intdigest() - (1 << 63)
+
+
 def _meets(word: str, places: list[int], tail: bool) -> list[int]:
-    """For each gram, ascending, a hash of the word from its start through the gram, or from the gram to its end."""
-    hashed, at, found = xxhash.xxh64("]" if tail else "["), 0, []
+    """For each gram, ascending, a hash of all from the near end through the gram and of the two letters at the far end."""
+    hashed, at, found = xxhash.xxh64(f"]{word[:GRAM]}" if tail else f"[{word[-GRAM:]}"), 0, []
     shown = word[::-1] if tail else word
     for place in reversed(places) if tail else places:
         end = len(word) - place if tail else place + GRAM
         hashed.update(shown[at:end].encode())
         at = end
-        found.append(hashed.intdigest() - (1 << 63))
+        found.append(_number(hashed))
     return found
 
 
+def _ends(word: str, cut: int) -> list[int]:
+    """Hashes of the word without ``cut`` letters at its end, and at its start."""
+    return [_number(xxhash.xxh64(part.encode())) for part in ("<" + word[: len(word) - cut], ">" + word[cut:])]
+
+
 def _keys(words: DataFrame, counts: np.ndarray, pivots: bool) -> DataFrame:
     """(key, word, n, size, last) with a row for each place where a word can meet another.
 
     ``words`` has (word, n, ref); ``ref`` stands for the word in the result. Of two
     words one edit apart, the edit leaves the left pivot with all before it or the
     right pivot with all behind it as they are, which fixes the gram's place from
-    that end. So pivots have one key each, prefix grams both.
+    that end. Unless the edit is at the other end of the word, the two letters
+    there stay too, so both go into one key; if it is there, all but these
+    letters of the shorter word stay, and that is a key of its own with an empty
+    ``last``. Pivots have one key for each end, prefix grams have both.
     """
 
     def keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -133,6 +145,8 @@ def _keys(words: DataFrame, counts: np.ndarray, pivots: bool) -> DataFrame:
                     places = sorted(place for _, place in prefix)
                     meets = _meets(word, places, False) + _meets(word, places, True)
                 rows += [(key, ref, n, len(word), prefix[-1][0]) for key in meets]
+                ends = _ends(word, GRAM) if pivots else _ends(word, GRAM) + _ends(word, GRAM + EDITS)
+                rows += [(key, ref, n, len(word), "") for key in ends]
                 if len(rows) >= ROWS:
                     yield pd.DataFrame(rows, columns=names)
                     rows = []
