@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import json
 import re
 from functools import lru_cache
 
 import numpy as np
 from tokenizers import Tokenizer
 
-#: Pieces that a Python worker remembers; a full cache starts again empty.
-WORDS = 1_000_000
+#: Bytes of pieces that a Python worker remembers, and those that a piece takes beside its letters; a full cache starts again empty.
+WORD_BYTES, WORD_COST = 96 << 20, 190
 #: Texts that are looked up together, and pieces that are encoded as one text.
 TEXTS, JOINED = 200, 500
 
@@ -37,23 +38,46 @@ def stretches(text: str) -> list[tuple[bool, str]]:
     return found
 
 
+# How the files of the known form clean and split a text.
+KNOWN_STEPS = ["NFC", "Replace", "Lowercase"]
+KNOWN_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def _known_form(spec: dict) -> bool:
+    """Whether a tokenizer file splits texts as ``stretches`` and ``_PIECES`` do."""
+    model, steps = spec["model"], spec["normalizer"] or {}
+    kinds = [n["type"] for n in steps.get("normalizers", [steps]) if n]
+    splits = (spec["pre_tokenizer"] or {}).get("pretokenizers", [])
+    patterns = [p["pattern"].get("Regex") for p in splits if p["type"] == "Split" and p["behavior"] == "Removed" and p["invert"]]
+    rest = [p for p in splits if p["type"] != "Split"]
+    bytes_only = len(rest) == 1 and rest[0]["type"] == "ByteLevel" and not rest[0]["add_prefix_space"]
+    bpe = model["type"] == "BPE" and model.get("end_of_word_suffix") == "</w>" and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix"))
+    plain = not any(t[k] for t in spec["added_tokens"] for k in ("lstrip", "rstrip", "single_word"))
+    starts = all(t["content"].startswith("<|") for t in spec["added_tokens"])
+    return bpe and kinds == KNOWN_STEPS and patterns == [KNOWN_PATTERN] and bytes_only and plain and starts
+
+
 class Encoder:
     """Ids of texts as little-endian bytes, equal to those that the library gives for the whole text.
 
-    For tokenizers that lower-case, drop white space, split into runs of letters,
-    single digits and runs of other marks, and close each with an end-of-word
-    suffix. A space or line feed always separates, so a text is the sequence of
-    its stretches, and a plain stretch is the sequence of its pieces.
+    Tokenizers of one known form, read from their file, lower-case, drop white
+    space, split into runs of letters, single digits and runs of other marks, and
+    close each with an end-of-word suffix. A space or line feed always separates,
+    so a text is the sequence of its stretches, and a plain stretch is the sequence
+    of its pieces. Texts go whole to the library for every other tokenizer.
     """
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as file:
+            self.by_pieces = _known_form(json.load(file))
         vocabulary = self.tokenizer.get_vocab()
         size = max(vocabulary.values()) + 1
         self.dtype = np.dtype("<u2" if size <= 1 << 16 else "<u4")
         self.closes = np.zeros(size, dtype=bool)
         self.closes[[i for word, i in vocabulary.items() if word.endswith("</w>")]] = True
         self.words: dict[str, bytes] = {}
+        self.held = 0
 
     def _direct(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
@@ -71,15 +95,19 @@ class Encoder:
                 self.words[word] = ids[a:b].tobytes()
 
     def _learn(self, wanted: set[str]) -> None:
-        if len(self.words) > WORDS:
+        if self.held > WORD_BYTES:
             self.words.clear()
+            self.held = 0
         missing = [x for x in wanted if x not in self.words]
+        self.held += sum(map(len, missing)) + WORD_COST * len(missing)
         plain = [x for x in missing if _PIECES.fullmatch(x)]
         other = [x for x in missing if not _PIECES.fullmatch(x)]
         self._learn_words(plain)
         self.words.update(zip(other, self._direct(other)))
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        if not self.by_pieces:
+            return [ids for at in range(0, len(texts), TEXTS) for ids in self._direct(texts[at : at + TEXTS])]
         out: list[bytes] = []
         pieces = _PIECES.findall
         for at in range(0, len(texts), TEXTS):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -24,7 +25,10 @@ STEPS, RATE, SPARSITY = 200, 0.05, 0.0005
 LIFT, CLEAR, CLEAREST = 2.0, 4.0, 1000
 GRAMS = (4, 5)
 THRESHOLD = 0.3
-WORDS_KEPT = 500_000
+#: Bytes of words that a task remembers with their features, and those that a word takes beside its letters.
+WORD_BYTES, WORD_COST = 24 << 20, 160
+#: Different features that leave a task together while they are counted, and texts read together in a fit.
+COUNTED, TEXTS = 100_000, 256
 
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -50,15 +54,18 @@ class Vocabulary:
 
     def __post_init__(self):
         self.known: dict[str, tuple[int, ...]] = {}
+        self.held = 0
 
     def features(self, text: str) -> list[int]:
         found: set[int] = set()
-        if len(self.known) > WORDS_KEPT:
-            self.known.clear()
         for word in words(text):
             own = self.known.get(word)
             if own is None:
+                if self.held > WORD_BYTES:
+                    self.known.clear()
+                    self.held = 0
                 own = self.known[word] = tuple(self.index[g] for g in grams(word) if g in self.index)
+                self.held += WORD_COST + len(word) + 8 * len(own)
             if own:
                 found.update(own)
         return sorted(found)
@@ -98,12 +105,16 @@ def fit_nnpu(rows: list[np.ndarray], positive: np.ndarray, n_features: int, prio
     return float(weights[-1]), weights[:-1]
 
 
-def clear_features(rows: list[np.ndarray], positive: np.ndarray, n_features: int) -> np.ndarray:
-    """Numbers of the features that confirmed texts have clearly more often than unlabelled ones."""
-    counts = [
-        np.bincount(np.concatenate([np.zeros(0, np.int64), *(r for r, p in zip(rows, positive) if p == side)]).astype(np.int64), minlength=n_features)
-        for side in (True, False)
-    ]
+def clear_features(rows: list[bytes], positive: np.ndarray, n_features: int) -> np.ndarray:
+    """Numbers of the features that confirmed texts have clearly more often than unlabelled ones.
+
+    ``rows`` hold the feature numbers of a text as little-endian 32-bit integers.
+    """
+    counts = [np.zeros(n_features, np.int64), np.zeros(n_features, np.int64)]
+    for side, total in zip((True, False), counts):
+        own = [r for r, p in zip(rows, positive) if p == side]
+        for at in range(0, len(own), TEXTS):
+            total += np.bincount(np.frombuffer(b"".join(own[at : at + TEXTS]), "<i4"), minlength=n_features)
     n = [max(1, positive.sum()), max(1, (~positive).sum())]
     share, base = counts[0] / n[0], counts[1] / n[1]
     pooled = (counts[0] + counts[1] + 1) / (n[0] + n[1] + 2)
@@ -152,24 +163,29 @@ def train(
     others = distinct_texts(drawn(others, docs.count(), unlabelled, 6), unlabelled * 2)
 
     def featured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        totals: Counter[str] = Counter()
         for batch in batches:
-            found = [sorted({g for w in words(t) for g in grams(w)}) for t in batch["text"]]
-            yield pd.DataFrame({"feature": [g for f in found for g in f]})
-
-    # One row for each feature of a bounded number of texts; the share bounds how many are left.
-    counted = toxic.mapInPandas(featured, "feature string").groupBy("feature").count()
+            for text in batch["text"]:
+                totals.update({g for w in words(text) for g in grams(w)})
+                if len(totals) > COUNTED:
+                    yield pd.DataFrame(totals.items(), columns=["feature", "n"])
+                    totals.clear()
+        yield pd.DataFrame(totals.items(), columns=["feature", "n"])
+
+    # Features of a bounded number of texts; the share bounds how many are left.
+    counted = toxic.mapInPandas(featured, "feature string, n bigint").groupBy("feature").agg(F.sum("n").alias("count"))
     least = max(FEATURE_TEXTS, round(FEATURE_SHARE * min(positives, confirmed)))
     index = {r["feature"]: i for i, r in enumerate(counted.where(F.col("count") >= least).orderBy("feature").collect())}
 
     def numbered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         vocabulary = Vocabulary(index)
         for batch in batches:
-            found = [vocabulary.features(t) for t in batch["text"]]
+            found = [np.array(vocabulary.features(t), "<i4").tobytes() for t in batch["text"]]
             yield pd.DataFrame({"features": found, "positive": batch["label"] == 1, "fold": batch["fold"]})
 
     fold = F.pmod(F.crc32("digest"), F.lit(MEMBERS)).cast("int")
     sample = toxic.unionByName(others).withColumn("fold", fold)
-    sample = sample.mapInPandas(numbered, "features array<int>, positive boolean, fold int")
+    sample = sample.mapInPandas(numbered, "features binary, positive boolean, fold int")
     members = F.explode(F.array(*[F.lit(i) for i in range(MEMBERS)]))
     sample = sample.withColumn("member", members).where("member != fold")
 
@@ -178,7 +194,7 @@ def train(
         kept = clear_features(features, positive, len(index))
         place = np.full(len(index) + 1, -1)
         place[kept] = np.arange(len(kept))
-        features = [(own := place[np.asarray(f, np.int64)])[own >= 0] for f in features]
+        features = [(own := place[np.frombuffer(f, "<i4")])[own >= 0] for f in features]
         weights = np.zeros(len(index))
         bias, weights[kept] = fit_nnpu(features, positive, len(kept), prior)
         return pd.DataFrame({"member": [key[0]], "bias": [bias], "weights": [weights]})
@@ -203,7 +219,12 @@ def keep_clean(
     threshold: float = THRESHOLD,
     **bounds,
 ) -> DataFrame:
-    """The rows of ``df`` that ``toxicity`` predicts not to be toxic, with all their columns."""
+    """The rows of ``df`` that ``toxicity`` predicts not to be toxic, with all their columns.
+
+    Rows are judged as ``toxicity`` says for null, empty, very long, equal and
+    repeated ones, null keys and clashing columns; a kept row keeps its null text.
+    An empty table stays empty.
+    """
     docs = texts_of(df, key, text)
     inside = ~held_out("id", parts, part)
     model = train(docs.where(inside), label_of(labels, key, label).where(inside), **bounds)
@@ -233,8 +254,8 @@ def toxicity(
     output, from the text alone, so equal texts have equal scores. Null and empty
     texts are scored as texts without features; null keys are scored and, as no
     label can name them, only ever unlabelled; repeated keys and rows are scored
-    one by one; of several labels for one key the larger holds. Without confirmed
-    rows all scores are zero; an empty table gives no rows; other columns play no
+    one by one; very long texts are read whole; of several labels for one key the
+    larger holds. Without confirmed rows all scores are zero; an empty table gives no rows; other columns play no
     part, whatever their names.
     """
     docs = texts_of(df, key, text)

@@ -1,5 +1,6 @@
 """Ids equal the library's, files round-trip, short documents are read alone."""
 
+import json
 import random
 import zlib
 
@@ -38,8 +39,22 @@ def test_ids_of_odd_texts(texts):
     assert [np.frombuffer(x, "<u2").tolist() for x in encoding.encoder(PATH).encode(texts)] == [plain(t) for t in texts]
 
 
+def test_other_tokenizers_go_to_the_library(tmp_path):
+    other = public_tokenizers.path("byte_bpe_50k.json")
+    library, own = Tokenizer.from_file(other), encoding.Encoder(other)
+    assert encoding.Encoder(PATH).by_pieces and not own.by_pieces
+    found = own.encode([*TEXTS, *TEXTS[::-1]])
+    assert [np.frombuffer(x, own.dtype).tolist() for x in found] == [library.encode(t, add_special_tokens=False).ids for t in [*TEXTS, *TEXTS[::-1]]]
+    with open(PATH, encoding="utf-8") as file:
+        spec = json.load(file)
+    spec["normalizer"] = {"type": "NFC"}  # keeps capitals
+    (tmp_path / "kept.json").write_text(json.dumps(spec))
+    library, own = Tokenizer.from_file(str(tmp_path / "kept.json")), encoding.Encoder(str(tmp_path / "kept.json"))
+    assert [np.frombuffer(x, own.dtype).tolist() for x in own.encode(TEXTS)] == [library.encode(t, add_special_tokens=False).ids for t in TEXTS]
+
+
 def test_full_caches_start_again(monkeypatch):
-    monkeypatch.setattr(encoding, "WORDS", 3)
+    monkeypatch.setattr(encoding, "WORD_BYTES", 600)
     monkeypatch.setattr(encoding, "TEXTS", 1)
     own = encoding.Encoder(PATH)
     texts = [f"word{i} other{i % 3}, Again" for i in range(20)]
