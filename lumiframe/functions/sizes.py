@@ -20,13 +20,13 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back.
+def cut_lineage(df: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Write ``df`` once to the shared folder, in a folder for each value of ``by``, and read it back.
 
     Later steps start from the written table, so a lost executor costs a
     re-read and not the steps that led here.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/tables/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.partitionBy(*by or []).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
