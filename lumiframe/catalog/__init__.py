@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import metric_queries, model_queries, prepare_queries, projection_queries, result_queries, store_queries  # noqa: F401
+from . import file_queries, metric_queries, model_queries, prepare_queries, projection_queries, result_queries, store_queries  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 

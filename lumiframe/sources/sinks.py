@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+
+import pandas as pd
+import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..operators.results import append_log
 from ..operators.select import example_row
@@ -64,3 +70,29 @@ def save_predictions(df: DataFrame, path: str, key: str = "id", fmt: str = "csv"
 
 def save_table(df: DataFrame, path: str, fmt: str = "csv") -> None:
     df.write.mode("overwrite").option("header", True).format(fmt).save(path)
+
+
+def save_named(df: DataFrame, root: str, path: str = "path", text: str = "text") -> int:
+    """Write each row's text to the file ``<root>/<path>`` and return the number of files.
+
+    Tasks write to a hidden name and rename it, so no reader sees half a file and a
+    repeated task replaces its files by equal ones. Rows must name different files;
+    a null path is an error, a null text an empty file.
+    """
+
+    def written(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        system, base = pyarrow.fs.FileSystem.from_uri(root)
+        for batch in batches:
+            for name, content in zip(batch["path"], batch["text"]):
+                folder, _, last = f"{base}/{name}".rpartition("/")
+                system.create_dir(folder, recursive=True)
+                hidden = f"{folder}/.{last}.{uuid.uuid4().hex}"
+                with system.open_output_stream(hidden) as out:
+                    out.write((content or "").encode())
+                if system.get_file_info(f"{folder}/{last}").type != pyarrow.fs.FileType.NotFound:
+                    system.delete_file(f"{folder}/{last}")
+                system.move(hidden, f"{folder}/{last}")
+            yield pd.DataFrame({"n": [len(batch)]})
+
+    names = F.coalesce(F.col(path), F.raise_error(F.lit("a file needs a name"))).alias("path")
+    return df.select(names, F.col(text).alias("text")).mapInPandas(written, "n long").agg(F.sum("n")).head()[0] or 0

@@ -201,6 +201,17 @@ def test_log_keeps_the_first_row(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "rows")).count() == 4
 
 
+def test_named_files_are_replaced(spark, tmp_path):
+    df = spark.createDataFrame([("a b/x+1.txt", "one"), ("c.txt", None)], "path string, text string")
+    assert sinks.save_named(df, str(tmp_path)) == 2
+    assert sinks.save_named(df.withColumn("text", F.upper("text")), f"file://{tmp_path}") == 2
+    assert (tmp_path / "a b" / "x+1.txt").read_text() == "ONE" and (tmp_path / "c.txt").read_text() == ""
+    assert sorted(p.name for p in tmp_path.rglob("*") if p.is_file()) == ["c.txt", "x+1.txt"]
+    assert sinks.save_named(df.limit(0), str(tmp_path)) == 0
+    with pytest.raises(Exception, match="needs a name"):
+        sinks.save_named(df.withColumn("path", F.lit(None).cast("string")), str(tmp_path))
+
+
 def test_results_by_target(spark, tmp_path):
     df = spark.createDataFrame([("x", 1.0), ("y", 2.0)], "target_variable string, Accuracy double")
     sinks.save_results({"results_summary": df}, str(tmp_path), "json")
