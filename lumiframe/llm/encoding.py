@@ -4,20 +4,27 @@ from __future__ import annotations
 
 import json
 import re
-from functools import lru_cache
+from array import array
+from functools import lru_cache, partial
+from itertools import islice
 
 import numpy as np
 from tokenizers import Tokenizer
+from tokenizers.pre_tokenizers import ByteLevel
 
-#: Bytes of pieces that a Python worker remembers, and those that a piece takes beside its letters; a full cache starts again empty.
+#: Bytes of pieces that a Python worker remembers, and those that a piece takes beside its letters. A full cache keeps
+#: its older half, as frequent pieces come early.
 WORD_BYTES, WORD_COST = 96 << 20, 190
-#: Texts that are looked up together, and pieces that are encoded as one text.
-TEXTS, JOINED = 200, 500
+#: Texts that are looked up together.
+TEXTS = 200
 
 # A stretch of these characters falls into runs of letters, single digits and runs of marks, whatever stands
 # beside it: they are in composed form, and no mark among them starts a contraction or a special token.
 _ODD = re.compile(r"[^ \t\n\r0-9A-Za-zÀ-ÖØ-öø-ÿ!-&(-/:-@\[-`{-~]|<\|")
 _PIECES = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|[!-&(-/:-@\[-`{-~]+")
+_LETTERS = re.compile(r"[a-zß-öø-ÿ]+")
+# The byte-level form of letters that have more than one byte.
+_BYTES = {code: ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str(chr(code))[0][0] for code in range(0xDF, 0x100)}
 _GAP = re.compile(r"[ \n]")
 
 
@@ -74,8 +81,7 @@ class Encoder:
         vocabulary = self.tokenizer.get_vocab()
         size = max(vocabulary.values()) + 1
         self.dtype = np.dtype("<u2" if size <= 1 << 16 else "<u4")
-        self.closes = np.zeros(size, dtype=bool)
-        self.closes[[i for word, i in vocabulary.items() if word.endswith("</w>")]] = True
+        self.pack = partial(array, "H" if size <= 1 << 16 else "I")
         self.words: dict[str, bytes] = {}
         self.held = 0
 
@@ -83,27 +89,21 @@ class Encoder:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, dtype=self.dtype).tobytes() for e in found]
 
-    def _learn_words(self, words: list[str]) -> None:
-        for at in range(0, len(words), JOINED):
-            some = words[at : at + JOINED]
-            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, dtype=self.dtype)
-            ends = np.flatnonzero(self.closes[ids]) + 1
-            if len(ends) != len(some):
-                self.words.update(zip(some, self._direct(some)))
-                continue
-            for word, a, b in zip(some, [0, *ends[:-1].tolist()], ends.tolist()):
-                self.words[word] = ids[a:b].tobytes()
-
     def _learn(self, wanted: set[str]) -> None:
         if self.held > WORD_BYTES:
-            self.words.clear()
-            self.held = 0
-        missing = [x for x in wanted if x not in self.words]
+            self.words = dict(islice(self.words.items(), len(self.words) // 2))
+            self.held = sum(map(len, self.words)) + WORD_COST * len(self.words)
+        missing = wanted.difference(self.words)
         self.held += sum(map(len, missing)) + WORD_COST * len(missing)
-        plain = [x for x in missing if _PIECES.fullmatch(x)]
-        other = [x for x in missing if not _PIECES.fullmatch(x)]
-        self._learn_words(plain)
-        self.words.update(zip(other, self._direct(other)))
+        # The cleaning and splitting steps leave a word of these letters whole, so the merges alone give its ids.
+        merged, words, pack = self.tokenizer.model.tokenize, self.words, self.pack
+        other = []
+        for word in missing:
+            if _LETTERS.fullmatch(word):
+                words[word] = pack([t.id for t in merged(word.translate(_BYTES))]).tobytes()
+            else:
+                other.append(word)
+        words.update(zip(other, self._direct(other)))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.by_pieces:

@@ -78,7 +78,10 @@ def encode_documents(docs: DataFrame, tokenizer: str, end_id: int, dictionary: b
     """(id, n_tokens, frame) of every document."""
 
     def encoded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        compressor = zstandard.ZstdCompressor(level=LEVEL, dict_data=_dictionary(dictionary))
+        shared = _dictionary(dictionary)
+        if shared:
+            shared.precompute_compress(level=LEVEL)  # once a task, not once a document
+        compressor = zstandard.ZstdCompressor(level=LEVEL, dict_data=shared)
         width = encoder(tokenizer).dtype.itemsize
         for batch in batches:
             ids = _with_end(tokenizer, end_id, batch["text"].tolist())
