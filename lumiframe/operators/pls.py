@@ -147,19 +147,32 @@ class PLS(Estimator, HasInputCol, HasOutputCol, HasLabelCol, DefaultParamsReadab
             mean, scale, weights, rotations = self._from_gram(dataset, features, label, k)
         else:
             mean, scale, weights, rotations = self._from_passes(dataset, features, label, k)
+        return self._model(mean, scale, weights, rotations)
+
+    def fit_sums(self, sums: np.ndarray, shift: np.ndarray) -> PLSModel:
+        """The model of the rows that ``sums`` and ``shift`` of ``cross_products`` stand for, without reading them."""
+        k, width = self.getOrDefault("k"), len(shift)
+        if not 1 <= k <= width:
+            raise ValueError(f"k must be between 1 and {width}")
+        return self._model(*self._from_sums(sums, shift, k))
+
+    def _model(self, mean, scale, weights, rotations) -> PLSModel:
         return PLSModel(
-            inputCol=features,
+            inputCol=self.getInputCol(),
             outputCol=self.getOutputCol(),
             mean=mean.tolist(),
             scale=scale.tolist(),
             weights=weights.ravel().tolist(),
             rotations=rotations.ravel().tolist(),
-            k=k,
+            k=self.getOrDefault("k"),
         )
 
+    @classmethod
+    def _from_gram(cls, dataset, features, label, k):
+        return cls._from_sums(*cross_products(dataset, features, label), k)
+
     @staticmethod
-    def _from_gram(dataset, features, label, k):
-        sums, shift = cross_products(dataset, features, label)
+    def _from_sums(sums, shift, k):
         n = sums[0, 0]
         middle = sums[0, 1:] / n
         centred = sums[1:, 1:] - n * np.outer(middle, middle)
