@@ -39,9 +39,11 @@ def _add_up(parts: DataFrame) -> dict[int, np.ndarray]:
     return {r["pos"]: r["total"].toArray() for r in total.collect()}
 
 
-def cross_products(df: DataFrame, features: str, label: str) -> tuple[np.ndarray, np.ndarray]:
+def cross_products(df: DataFrame, features: str, label: str, classes: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """A'A for A = [1, x - c, y], with c the first row; also returns c.
 
+    With ``classes`` the label is a code and y has a column for each class, one where the code is that class.
+
     Shifting by any row keeps the later centring free of cancellation. Each task
     multiplies its batches with BLAS and emits one matrix.
     """
@@ -55,7 +57,7 @@ def cross_products(df: DataFrame, features: str, label: str) -> tuple[np.ndarray
                 continue
             x = rows_of(batch.column(0)) - shift
             y = batch.column(1).to_numpy(zero_copy_only=False)
-            a = np.column_stack([np.ones(len(y)), x, y])
+            a = np.column_stack([np.ones(len(y)), x, y if classes is None else y[:, None] == np.arange(classes)])
             total = a.T @ a if total is None else total + a.T @ a
         if total is not None:
             for i in range(len(total)):
@@ -91,14 +93,19 @@ def _rows_product(df: DataFrame, mean: np.ndarray, weight: Callable[[np.ndarray,
 def components(
     s: np.ndarray, gram_times: Callable[[np.ndarray], np.ndarray], k: int
 ) -> tuple[np.ndarray, np.ndarray]:
-    """Weights W and rotations R (both p x k) from X'y and the product r -> X'X r."""
+    """Weights W and rotations R (both p x k) from X'y and the product r -> X'X r.
+
+    With several responses ``s`` is X'Y; the weight of a component is then its
+    leading left singular vector, the direction that covaries most with all of them.
+    """
     weights, rotations, loadings = [], [], []
+    s = s.reshape(len(s), -1)
     scale = np.linalg.norm(s)
     for a in range(k):
         norm = np.linalg.norm(s)
         if norm <= 1e-12 * scale or norm == 0:
             raise ValueError(f"the response is used up after {a} components")
-        w = s / norm
+        w = s[:, 0] / norm if s.shape[1] == 1 else np.linalg.svd(s, full_matrices=False)[0][:, 0]
         w = w if w[np.argmax(np.abs(w))] > 0 else -w
         r = w.copy()
         for p_j, r_j in zip(loadings, rotations):
@@ -106,7 +113,7 @@ def components(
         gr = gram_times(r)
         tt = r @ gr
         p = gr / tt
-        s = s - p * (r @ s)
+        s = s - np.outer(p, r @ s)
         weights.append(w)
         rotations.append(r)
         loadings.append(p)
@@ -114,11 +121,18 @@ def components(
 
 
 class PLS(Estimator, HasInputCol, HasOutputCol, HasLabelCol, DefaultParamsReadable, DefaultParamsWritable):
-    """Projection of an array column on ``k`` components that follow an integer label."""
+    """Projection of an array column on ``k`` components that follow an integer label.
+
+    With ``oneHot`` the response has a column for each code from 0 to the largest,
+    so the order of the classes does not shape the components. There are then as
+    many components as covariance is left for, at most the length of the axis.
+    """
 
     k = Param(Params._dummy(), "k", "number of components", TypeConverters.toInt)
     maxGram = Param(Params._dummy(), "maxGram", "longest axis whose p x p matrix is formed", TypeConverters.toInt)
 
+    oneHot = Param(Params._dummy(), "oneHot", "a response for each class", TypeConverters.toBoolean)
+
     @keyword_only
     def __init__(
         self,
@@ -128,11 +142,11 @@ class PLS(Estimator, HasInputCol, HasOutputCol, HasLabelCol, DefaultParamsReadab
         labelCol: str = "code",
         k: int = DEFAULT_COMPONENTS,
         maxGram: int = MAX_GRAM_POSITIONS,
+        oneHot: bool = False,
     ):
         super().__init__()
-        self._setDefault(
-            inputCol="spectrum", outputCol="scores", labelCol="code", k=DEFAULT_COMPONENTS, maxGram=MAX_GRAM_POSITIONS
-        )
+        self._setDefault(inputCol="spectrum", outputCol="scores", labelCol="code", k=DEFAULT_COMPONENTS)
+        self._setDefault(maxGram=MAX_GRAM_POSITIONS, oneHot=False)
         self._set(**self._input_kwargs)
 
     def _fit(self, dataset: DataFrame) -> PLSModel:
@@ -143,10 +157,11 @@ class PLS(Estimator, HasInputCol, HasOutputCol, HasLabelCol, DefaultParamsReadab
         width = len(first[0])
         if not 1 <= k <= width:
             raise ValueError(f"k must be between 1 and {width}")
+        classes = int(dataset.agg(F.max(label)).head()[0]) + 1 if self.getOrDefault("oneHot") else None
         if width <= self.getOrDefault("maxGram"):
-            mean, scale, weights, rotations = self._from_gram(dataset, features, label, k)
+            mean, scale, weights, rotations = self._from_gram(dataset, features, label, k, classes)
         else:
-            mean, scale, weights, rotations = self._from_passes(dataset, features, label, k)
+            mean, scale, weights, rotations = self._from_passes(dataset, features, label, k, classes)
         return self._model(mean, scale, weights, rotations)
 
     def fit_sums(self, sums: np.ndarray, shift: np.ndarray) -> PLSModel:
@@ -168,8 +183,8 @@ class PLS(Estimator, HasInputCol, HasOutputCol, HasLabelCol, DefaultParamsReadab
         )
 
     @classmethod
-    def _from_gram(cls, dataset, features, label, k):
-        return cls._from_sums(*cross_products(dataset, features, label), k)
+    def _from_gram(cls, dataset, features, label, k, classes=None):
+        return cls._from_sums(*cross_products(dataset, features, label, classes), k)
 
     @staticmethod
     def _from_sums(sums, shift, k):
@@ -181,12 +196,13 @@ class PLS(Estimator, HasInputCol, HasOutputCol, HasLabelCol, DefaultParamsReadab
         std = np.sqrt(np.where(var <= floor, 0.0, var))
         std[std == 0] = 1.0
         scaled = centred / np.outer(std, std)
-        gram, s = scaled[:-1, :-1], scaled[:-1, -1]
+        p = len(shift)
+        gram, s = scaled[:p, :p], scaled[:p, p:]
         weights, rotations = components(s, lambda r: gram @ r, k)
-        return shift + middle[:-1], std[:-1], weights, rotations
+        return shift + middle[:p], std[:p], weights, rotations
 
     @staticmethod
-    def _from_passes(dataset, features, label, k):
+    def _from_passes(dataset, features, label, k, classes=None):
         rows = dataset.select(F.col(features).alias("x"), F.col(label).cast("double").alias("y"))
         stats = rows.agg(
             Summarizer.metrics("mean", "std").summary(array_to_vector("x")).alias("x"),
@@ -195,12 +211,21 @@ class PLS(Estimator, HasInputCol, HasOutputCol, HasLabelCol, DefaultParamsReadab
         ).head()
         mean, std = stats.x["mean"].toArray(), stats.x["std"].toArray()
         std[std == 0] = 1.0
-        y_mean, y_std = stats.y, stats.y_std or 1.0
+        if classes is None:
+            responses = [(None, stats.y, stats.y_std or 1.0)]
+        else:
+            shares = [F.avg((F.col("y") == c).cast("double")) for c in range(classes)]
+            spreads = [F.stddev_samp((F.col("y") == c).cast("double")) for c in range(classes)]
+            found = rows.agg(*shares, *spreads).head()
+            responses = [(c, found[c], found[classes + c] or 1.0) for c in range(classes)]
 
         def gram_times(r):
             return _rows_product(rows, mean, lambda x, y: (x / std) @ r) / std
 
-        s = _rows_product(rows, mean, lambda x, y: (y - y_mean) / y_std) / std
+        def covariance(code, y_mean, y_std):
+            return _rows_product(rows, mean, lambda x, y: ((y if code is None else y == code) - y_mean) / y_std) / std
+
+        s = np.column_stack([covariance(*r) for r in responses])
         weights, rotations = components(s, gram_times, k)
         return mean, std, weights, rotations
 

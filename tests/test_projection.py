@@ -67,6 +67,28 @@ def test_scaling_in_front_changes_no_score(spark, sample):
     assert np.allclose([r["scores"] for r in plain], [r["scores"] for r in after], atol=1e-8)
 
 
+@pytest.mark.parametrize("max_gram", [100, 2])
+def test_one_response_a_class(spark, sample, max_gram):
+    x, y = sample
+    codes = np.arange(len(y)) % 3 + 0.0
+    x = x + 0.7 * np.outer(codes == 1, np.arange(x.shape[1])) + 0.9 * np.outer(codes == 2, np.arange(x.shape[1])[::-1])
+    model = PLS(k=4, maxGram=max_gram, oneHot=True).fit(frame(spark, x, codes))
+    # Deflation of the rows themselves, with the leading singular vector of X'Y at each step.
+    e = (x - x.mean(0)) / x.std(0, ddof=1)
+    hot = (codes[:, None] == np.arange(3)).astype(float)
+    f = (hot - hot.mean(0)) / hot.std(0, ddof=1)
+    for a in range(4):
+        w = np.linalg.svd(e.T @ f)[0][:, 0]
+        w = w if w[np.argmax(np.abs(w))] > 0 else -w
+        assert np.allclose(model.weight_matrix()[:, a], w, atol=1e-8)
+        t = e @ w
+        e, f = e - np.outer(t, t @ e) / (t @ t), f - np.outer(t, t @ f) / (t @ t)
+    turned = PLS(k=4, maxGram=max_gram, oneHot=True).fit(frame(spark, x, (codes + 1) % 3))
+    assert np.allclose(turned.weight_matrix(), model.weight_matrix(), atol=1e-9)  # the order of the classes has no effect
+    single = [PLS(k=2, maxGram=max_gram).fit(frame(spark, x, c)).weight_matrix() for c in (codes, (codes + 1) % 3)]
+    assert not np.allclose(*single, atol=1e-3)
+
+
 def test_pls_errors(spark, sample):
     x, y = sample
     with pytest.raises(ValueError, match="used up"):
