@@ -1,4 +1,10 @@
-"""Stages of the training-data pipeline and their run over ``documents``."""
+"""Stages of the training-data pipeline and their run over ``documents``.
+
+All stages take null and empty texts as texts without words, read very long texts
+whole, keep further columns whatever their names, and give an empty table for an
+empty one. Repeated rows and null keys are treated as the docstring of the stage
+or of its operator says.
+"""
 
 from __future__ import annotations
 
@@ -18,17 +24,21 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are not predicted to be toxic."""
+    """Documents that are not predicted to be toxic; equal texts go or stay together, null keys are scored too."""
     return keep_clean(docs, _table(spark, sf_dir, "labels"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: three-word shingles, three bits."""
+    """One document of each group of near copies: three-word shingles, three bits.
+
+    All texts without words are one group. Of repeated rows one stays; a null key
+    stays only where its group has no other.
+    """
     return one_of_each(docs, shingle=3, max_bits=3)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without any benchmark item."""
+    """Documents without any benchmark item; repeated rows go or stay together, texts without words stay."""
     return docs.where(~is_leaked(_table(spark, sf_dir, "benchmark"), docs["text"]))
 
 
