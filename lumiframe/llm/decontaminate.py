@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -14,9 +15,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 SHINGLE, SIMILARITY = 5, 0.8
-#: Bits in which a window's fingerprint may differ from an item's. Two texts at the least similarity differ in about
-#: ten of 64 bits, so none of them is beyond the radius; what is near by chance fails the exact check.
-RADIUS, BLOCKS = 24, 8
+#: Bits in which a window's fingerprint may differ from an item's. Texts of a few dozen shingles at the least similarity
+#: differ in about ten of 64 bits, with a spread of three; ``tests/llm`` measure the recall. Of four blocks one then
+#: differs in four of its 16 bits at most, which one value in 26 does by chance.
+RADIUS, BLOCKS = 19, 4
+#: Fingerprints that are looked up together, and pairs that are compared together.
+QUERIES, PAIRS = 512, 1 << 20
 #: Items that one pass over the documents looks for, and their characters at most.
 ITEMS, ITEM_CHARS = 20_000, 32 * 1024 * 1024
 
@@ -48,33 +52,75 @@ def pack(sums: np.ndarray) -> np.ndarray:
     return np.packbits(sums > 0, axis=1, bitorder="little").view("<u8")[:, 0]
 
 
-class HammingIndex:
-    """Finds every fingerprint within ``radius`` bits.
+def masks(width: int, bits: int) -> np.ndarray:
+    """All values of ``width`` bits of which at most ``bits`` are set."""
+    sets = (c for n in range(bits + 1) for c in combinations(range(width), n))
+    return np.array([sum(1 << bit for bit in c) for c in sets], np.uint64)
+
 
-    Of ``blocks`` equal blocks one differs in at most radius // blocks bits, so a
-    table for each block, from its value to the items that near, misses nothing.
+class HammingIndex:
+    """Finds every fingerprint of a group within ``radius`` bits.
+
+    Of ``blocks`` equal blocks one differs in at most radius // blocks bits. Two
+    values so near have one between them, half of the bits from either, so a
+    sorted table for each block has (group, value) for all values within the one
+    half of an item's, a query looks up those within the other half of its own,
+    and none is missed. The entries found are compared in full, a bounded number
+    of them at a time.
     """
 
-    def __init__(self, prints: np.ndarray, radius: int = RADIUS, blocks: int = BLOCKS):
+    def __init__(self, prints: np.ndarray, radius: int = RADIUS, blocks: int = BLOCKS, groups: np.ndarray | None = None):
         self.prints, self.radius = prints, radius
         self.width = 64 // blocks
-        self.shifts = np.arange(blocks, dtype=np.uint64) * np.uint64(self.width)
-        values = np.arange(1 << self.width, dtype=np.uint64)
-        self.near = [
-            np.bitwise_count(values[:, None] ^ self._block(prints, s)[None, :]) <= radius // blocks for s in self.shifts
-        ]
-
-    def _block(self, prints: np.ndarray, shift: np.uint64) -> np.ndarray:
-        return (prints >> shift) & np.uint64((1 << self.width) - 1)
-
-    def search(self, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        near = radius // blocks
+        self.probes = masks(self.width, near - near // 2)
+        own = masks(self.width, near // 2)
+        groups = np.zeros(len(prints), np.int64) if groups is None else groups
+        self.tables = []
+        for block in range(blocks):
+            keys = self._keys(prints, block, own, groups).ravel()
+            order = np.argsort(keys, kind="stable")
+            self.tables.append((keys[order], (order // len(own)).astype(np.int32)))
+
+    def _keys(self, prints: np.ndarray, block: int, near: np.ndarray, groups) -> np.ndarray:
+        values = (prints >> np.uint64(block * self.width)) & np.uint64((1 << self.width) - 1)
+        groups = np.broadcast_to(np.asarray(groups, np.uint64), len(prints)) << np.uint64(self.width)
+        return (values | groups)[:, None] ^ near[None, :]
+
+    def search(self, queries: np.ndarray, group: int = 0) -> tuple[np.ndarray, np.ndarray]:
         """Pairs (place of the query, place of the print) within the radius."""
-        found = np.zeros((len(queries), len(self.prints)), dtype=bool)
-        for near, shift in zip(self.near, self.shifts):
-            found |= near[self._block(queries, shift)]
-        q, p = np.nonzero(found)
-        apart = np.bitwise_count(queries[q] ^ self.prints[p])
-        return q[apart <= self.radius], p[apart <= self.radius]
+        different, back = np.unique(queries, return_inverse=True)
+        found = [np.zeros(0, np.int64)]
+        for at in range(0, len(different), QUERIES):
+            own = different[at : at + QUERIES]
+            for block, table in enumerate(self.tables):
+                found += [pairs + at * len(self.prints) for pairs in self._near(own, block, table, group)]
+        q, p = np.divmod(np.unique(np.concatenate(found)), max(1, len(self.prints)))
+        # A fingerprint that many windows have was looked up once.
+        order = np.argsort(back, kind="stable")
+        first = np.searchsorted(back[order], np.arange(len(different) + 1))
+        n = first[q + 1] - first[q]
+        return order[_ranges(first[q], n)], np.repeat(p, n)
+
+    def _near(self, queries: np.ndarray, block: int, table: tuple, group: int) -> Iterator[np.ndarray]:
+        """Different numbers place of query * prints + place of print, of those that meet in a block."""
+        keys, items = table
+        probes = self._keys(queries, block, self.probes, group).ravel()
+        start = np.searchsorted(keys, probes)
+        n = np.searchsorted(keys, probes, side="right") - start
+        hit = np.flatnonzero(n)
+        ends = n[hit].cumsum()
+        # A probe has an entry of an item once, so a part is over PAIRS by the items of a block at most.
+        for part in np.split(hit, np.flatnonzero(np.diff(ends // PAIRS)) + 1):
+            q = np.repeat(part // len(self.probes), n[part])
+            p = items[_ranges(start[part], n[part])]
+            near = np.bitwise_count(queries[q] ^ self.prints[p]) <= self.radius
+            yield np.unique(q[near] * len(self.prints) + p[near])
+
+
+def _ranges(start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... of each of the ranges, one after the other."""
+    return np.arange(n.sum()) + np.repeat(start - n.cumsum() + n, n)
 
 
 class Benchmark:
@@ -86,10 +132,11 @@ class Benchmark:
         for key, text in items:
             if found := words(text):
                 self.items[len(found)].append((key, found))
-        self.index = {
-            size: HammingIndex(pack(np.stack([shingle_bits(w, self.k(size)).sum(0) for _, w in own])), radius)
-            for size, own in self.items.items()
-        }
+        # One index for all items; the group of an item is its size.
+        self.placed = [(size, i) for size, own in self.items.items() for i in range(len(own))]
+        sums = [shingle_bits(w, self.k(size)).sum(0) for size, own in self.items.items() for _, w in own]
+        prints = pack(np.stack(sums)) if sums else np.zeros(0, np.uint64)
+        self.index = HammingIndex(prints, radius, groups=np.array([size for size, _ in self.placed], np.int64))
         self.numbers: dict[str, int] = {}
         sizes: dict[int, dict[int, set[int]]] = defaultdict(lambda: defaultdict(set))
         for size, own in self.items.items():
@@ -150,13 +197,13 @@ class Benchmark:
                 part = tokens[low : int(run[-1]) + spread]
                 sums = np.concatenate((np.zeros((1, 64), np.int32), shingle_bits(part, k).cumsum(0)))
                 prints = pack(sums[run - low + n] - sums[run - low])
-                index = self.index[size]
-                for q, p in zip(*index.search(prints)):
+                for q, at in zip(*self.index.search(prints, size)):
+                    p = self.placed[at][1]
                     key, own = self.items[size][p]
                     start = int(run[q])
                     value = similarity(tokens[start : start + spread], own, k)
                     if value >= self.least:
-                        bits = int(np.bitwise_count(prints[q] ^ index.prints[p]))
+                        bits = int(np.bitwise_count(prints[q] ^ self.index.prints[at]))
                         old = best.get((size, p))
                         if old is None or (-value, start) < (-old[3], old[1]):
                             best[size, p] = (key, start, spread, value, bits)

@@ -79,6 +79,59 @@ def test_index_finds_all_within_the_radius(radius, blocks):
     assert set(zip(q.tolist(), p.tolist())) == set(zip(*(x.tolist() for x in np.nonzero(apart <= radius))))
 
 
+def test_index_keeps_groups_apart():
+    own = np.array([rng.getrandbits(64) for _ in range(40)] * 3, dtype=np.uint64)
+    groups = np.repeat([2, 17, 100_000], 40)
+    index = HammingIndex(own, 19, 4, groups)
+    queries = np.concatenate((own[:40], own[:5], np.array([rng.getrandbits(64)], np.uint64)))
+    for group in (2, 17, 100_000, 5):
+        q, p = index.search(queries, group)
+        apart = (np.bitwise_count(queries[:, None] ^ own[None, :]) <= 19) & (groups == group)
+        assert sorted(zip(q.tolist(), p.tolist())) == list(zip(*(x.tolist() for x in np.nonzero(apart))))
+    assert HammingIndex(own[:0]).search(queries)[0].size == 0
+
+
+def test_index_in_small_parts(monkeypatch):
+    monkeypatch.setattr(decontaminate, "QUERIES", 7)
+    monkeypatch.setattr(decontaminate, "PAIRS", 50)
+    test_index_finds_all_within_the_radius(20, 4)
+
+
+def test_blocks_prune():
+    """What shares a block's neighbourhood by chance is a small part of all pairs."""
+    own = np.array([rng.getrandbits(64) for _ in range(200)], dtype=np.uint64)
+    queries = np.array([rng.getrandbits(64) for _ in range(500)], dtype=np.uint64)
+    shift = np.arange(0, 64, 64 // decontaminate.BLOCKS, dtype=np.uint64)
+    blocks = [(x[:, None] >> shift) & np.uint64((1 << 64 // decontaminate.BLOCKS) - 1) for x in (queries, own)]
+    near = np.bitwise_count(blocks[0][:, None, :] ^ blocks[1][None, :, :]) <= decontaminate.RADIUS // decontaminate.BLOCKS
+    assert near.any(axis=2).mean() < 0.2
+
+
+def test_recall_of_the_radius():
+    """Share of texts at a similarity of 0.8 to 0.9 whose fingerprints are within the radius, by size."""
+    many = [f"w{i}" for i in range(3000)]
+    for size in (17, 25, 40, 80, 200):
+        hits = total = 0
+        for _ in range(600):
+            one = rng.choices(many, k=size)
+            other = list(one)
+            for _ in range(rng.randrange(1, size // 25 + 3)):
+                other[rng.choice([0, 1, 2, size - 1, rng.randrange(size)])] = rng.choice(many)
+            if 0.8 <= similarity(one, other, 5) <= 0.9:
+                prints = decontaminate.pack(np.stack([decontaminate.shingle_bits(x, 5).sum(0) for x in (one, other)]))
+                hits, total = hits + (np.bitwise_count(prints[0] ^ prints[1]) <= decontaminate.RADIUS), total + 1
+        assert total >= 20 and hits >= 0.99 * total, (size, hits, total)
+
+
+def test_text_made_of_pieces_of_many_items():
+    many = [f"w{i}" for i in range(500)]
+    items = [(i, " ".join(rng.choices(many, k=30))) for i in range(300)]
+    pieces = [" ".join(i[1].split()[at : at + 7]) for i in items for at in (0, 11, 20)]
+    rng.shuffle(pieces)
+    pieces.insert(450, items[41][1])
+    assert [h[0] for h in Benchmark(items).find(" ".join(pieces))] == [41]
+
+
 def test_blocks_of_items(spark, monkeypatch):
     docs, items = cases()
     monkeypatch.setattr(decontaminate, "ITEMS", 10)
