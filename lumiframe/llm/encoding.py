@@ -15,6 +15,8 @@ from tokenizers.pre_tokenizers import ByteLevel
 #: Bytes of pieces that a Python worker remembers, and those that a piece takes beside its letters. A full cache keeps
 #: its older half, as frequent pieces come early.
 WORD_BYTES, WORD_COST = 96 << 20, 190
+#: Bytes of them that a worker still remembers when a partition has ended; the earliest, as for a full cache.
+KEPT_BYTES = 20 << 20
 #: Texts that are looked up together.
 TEXTS = 200
 
@@ -91,8 +93,7 @@ class Encoder:
 
     def _learn(self, wanted: set[str]) -> None:
         if self.held > WORD_BYTES:
-            self.words = dict(islice(self.words.items(), len(self.words) // 2))
-            self.held = sum(map(len, self.words)) + WORD_COST * len(self.words)
+            self._keep(len(self.words) // 2)
         missing = wanted.difference(self.words)
         self.held += sum(map(len, missing)) + WORD_COST * len(missing)
         # The cleaning and splitting steps leave a word of these letters whole, so the merges alone give its ids.
@@ -105,6 +106,15 @@ class Encoder:
                 other.append(word)
         words.update(zip(other, self._direct(other)))
 
+    def _keep(self, number: int) -> None:
+        self.words = dict(islice(self.words.items(), number))
+        self.held = sum(map(len, self.words)) + WORD_COST * len(self.words)
+
+    def settle(self) -> None:
+        """Forget what goes beyond ``KEPT_BYTES``: a worker lives on, and other stages need its memory."""
+        if self.held > KEPT_BYTES:
+            self._keep(len(self.words) * KEPT_BYTES // self.held)
+
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.by_pieces:
             return [ids for at in range(0, len(texts), TEXTS) for ids in self._direct(texts[at : at + TEXTS])]

@@ -68,6 +68,7 @@ def sample_ids(docs: DataFrame, tokenizer: str, end_id: int, documents: int) ->
     def encoded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             yield pd.DataFrame({"ids": _with_end(tokenizer, end_id, batch["text"].tolist())})
+        encoder(tokenizer).settle()
 
     # The draw is bounded by its share; 1.5 times as many as asked for are far beyond its spread.
     rows = drawn.select("text").mapInPandas(encoded, "ids binary").limit(documents + documents // 2).collect()
@@ -87,6 +88,7 @@ def encode_documents(docs: DataFrame, tokenizer: str, end_id: int, dictionary: b
             ids = _with_end(tokenizer, end_id, batch["text"].tolist())
             counts = [len(x) // width for x in ids]
             yield pd.DataFrame({"id": batch["id"], "n_tokens": counts, "frame": [compressor.compress(x) for x in ids]})
+        encoder(tokenizer).settle()
 
     return docs.mapInPandas(encoded, "id bigint, n_tokens bigint, frame binary")
 
