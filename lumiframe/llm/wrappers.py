@@ -20,16 +20,18 @@ from .scratch import Scratch
 
 #: Groups in which the partial wrappers of one host are merged before the last merge.
 PARTS = 64
-#: Constant texts that are kept for comparison; of longer ones a digest is kept.
+#: Constant texts that are kept as they are; longer ones are kept and compared as digests.
 CONSTANT = 80
-#: Constant texts of a repeated element that are kept; with more it counts as variable.
-CONSTANTS = 32
 #: Pages that must share a constant text before it counts as a part of the template.
 TEMPLATE_PAGES = 3
-#: Levels of a page that are aligned; below them it is read, but no part of the wrapper.
+#: Levels of a page that are aligned as sequences; elements below them are compared by their whole paths.
 LEVELS = 48
-#: Groups inside of groups of one sequence; deeper ones fold by label alone.
+#: Groups inside of groups of one sequence; deeper ones fold by label alone, which gives the same nodes in another order.
 NESTED = 6
+#: Share of the text of a block with a repeated group that is in links, above which it is a list of links.
+LINK_SHARE = 0.8
+#: Extractors that a worker keeps.
+EXTRACTORS = 32
 #: Share of the pages of a host that have a mark before elements are aligned by it.
 COMMON_SHARE = 0.5
 
@@ -66,19 +68,21 @@ class Node:
 
     ``items`` is the sequence of its children in page order: [node, optional,
     repeated]. ``pages`` counts pages, ``chars`` the text below less what is no article text. ``text`` is the
-    text slot: None without text, the sorted constants (numbers are digests of long
-    ones), or True where pages differ. ``links`` counts the text in links. ``seen``
+    text slot: None without text, the sorted constants (a set while its page is read;
+    see ``constant``), or True where pages differ. ``links`` counts the text in links. ``seen``
     are the smallest digests of pages that have own text here, TEMPLATE_PAGES at most.
+    ``deep`` has (text, seen) of the elements below LEVELS by their path.
     """
 
-    __slots__ = ("label", "items", "pages", "chars", "links", "text", "seen")
+    __slots__ = ("label", "items", "pages", "chars", "links", "text", "seen", "deep")
 
-    def __init__(self, label: str, items=None, pages: int = 1, chars: int = 0, links: int = 0, text=None, seen=()):
+    def __init__(self, label: str, items=None, pages: int = 1, chars: int = 0, links: int = 0, text=None, seen=(), deep=None):
         self.label, self.items, self.pages, self.chars, self.links, self.text = label, items or [], pages, chars, links, text
-        self.seen = seen
+        self.seen, self.deep = seen, deep or {}
 
     def packed(self) -> list:
-        return [self.label, [[n.packed(), o, r] for n, o, r in self.items], self.pages, self.chars, self.links, self.text, list(self.seen)]
+        items = [[n.packed(), o, r] for n, o, r in self.items]
+        return [self.label, items, self.pages, self.chars, self.links, self.text, list(self.seen), self.deep]
 
     @staticmethod
     def unpacked(data: list) -> Node:
@@ -92,10 +96,20 @@ def _same_text(one, other, within_page: bool):
         return other if one is None else one
     if one is True or other is True:
         return True
+    if not within_page:
+        return one if one == other else True
+    if isinstance(one, list):
+        return sorted({*one, *other})
+    few, many = sorted((one, other), key=len)
+    many |= few
+    return many
+
+
+def _same_pages(one, other, seen: tuple, others: tuple, within_page: bool) -> tuple:
+    """Digests of the pages that have one of two texts."""
     if within_page:
-        both = sorted({*one, *other}, key=str)
-        return both if len(both) <= CONSTANTS else True
-    return one if one == other else True
+        return others if one is None else seen
+    return sorted({*seen, *others})[:TEMPLATE_PAGES]
 
 
 def align(one: list, other: list, within_page: bool = False) -> list:
@@ -125,13 +139,15 @@ def align(one: list, other: list, within_page: bool = False) -> list:
     return out
 
 
-def fold(items: list, nested: int = 0) -> list:
+def fold(items: list, nested: int = 0, within_page: bool = True) -> list:
     """The sequence with every repeated label folded into one repeated group.
 
     At the first label that comes again, the stretches that begin with it are
     squares of one group: they are aligned with each other into (a b? c?)+. What
     is left has each label once, so a wrapper stays as small as the kinds of
-    children there are.
+    children there are. Of a sequence that two pages were aligned to, labels come
+    again where the pages order them differently, once from each of them: they are
+    then merged as those of two pages.
     """
     at = {}
     for i, item in enumerate(items):
@@ -140,32 +156,33 @@ def fold(items: list, nested: int = 0) -> list:
     if first is None:
         return items
     if nested == NESTED:
-        return [_folded([items[i] for i in places]) for places in at.values()]
+        return [_folded([items[i] for i in places], within_page) for places in at.values()]
     starts = at[items[first][0].label]
-    group = fold(items[starts[0] : starts[1]], nested + 1)
+    group = fold(items[starts[0] : starts[1]], nested + 1, within_page)
     for a, b in zip(starts[1:], [*starts[2:], len(items)]):
-        group = fold(align(group, fold(items[a:b], nested + 1), True), nested + 1)
+        group = fold(align(group, fold(items[a:b], nested + 1, within_page), within_page), nested + 1, within_page)
     return items[:first] + [[n, o, True] for n, o, _ in group]  # no label of the group comes before it
 
 
-def _folded(same: list) -> list:
+def _folded(same: list, within_page: bool) -> list:
     """Items of one label as one."""
     total = same[0][0]
     for node, _, _ in same[1:]:
-        total = merge(total, node, True)
+        total = merge(total, node, within_page)
     return [total, True, len(same) > 1 or same[0][2]]
 
 
 def merge(one: Node, other: Node, within_page: bool = False) -> Node:
     """Wrapper of two: texts that differ become a slot, children are aligned and folded."""
-    items = fold(align(one.items, other.items, within_page))
+    items = fold(align(one.items, other.items, within_page), 0, within_page)
     pages = max(one.pages, other.pages) if within_page else one.pages + other.pages
     text = _same_text(one.text, other.text, within_page)
-    if within_page:
-        seen = other.seen if one.text is None else one.seen
-    else:
-        seen = sorted({*one.seen, *other.seen})[:TEMPLATE_PAGES]
-    return Node(one.label, items, pages, one.chars + other.chars, one.links + other.links, text, seen)
+    seen = _same_pages(one.text, other.text, one.seen, other.seen, within_page)
+    deep = one.deep | other.deep
+    for path in one.deep.keys() & other.deep.keys():
+        (a, p), (b, q) = one.deep[path], other.deep[path]
+        deep[path] = [_same_text(a, b, within_page), _same_pages(a, b, p, q, within_page)]
+    return Node(one.label, items, pages, one.chars + other.chars, one.links + other.links, text, seen, deep)
 
 
 def kind_of(element: Element, marks: frozenset | None) -> str:
@@ -180,6 +197,21 @@ def digest(text: str) -> int:
     return int.from_bytes(blake2b(text.encode("utf-8", "surrogatepass"), digest_size=6).digest(), "big")
 
 
+def constant(text: str) -> str:
+    """A text as it is compared: itself, or a digest that begins with a space, as no own text does."""
+    if len(text) <= CONSTANT:
+        return text
+    return " " + blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).hexdigest()
+
+
+def step(path: tuple[str, ...], label: str) -> tuple[str, ...]:
+    """Path of a child. Below LEVELS it is LEVELS labels, the digest of the further ones and the label itself."""
+    if len(path) < LEVELS:
+        return (*path, label)
+    above = path[LEVELS] if len(path) > LEVELS else ""
+    return (*path[:LEVELS], blake2b(f"{above} {label}".encode("utf-8", "surrogatepass"), digest_size=12).hexdigest(), label)
+
+
 def page_node(element: Element, marks: frozenset | None = None) -> Node:
     """Wrapper of one page, its repetitions folded; without ``marks`` all marks count.
 
@@ -189,40 +221,56 @@ def page_node(element: Element, marks: frozenset | None = None) -> Node:
     # Every element after its parent: name, parent's place, level, label, whether it is no article text, own text.
     found: list[tuple[str, int, int, str, bool, str]] = []
     words: list[str] = []
-    stack: list = [(element, 0, 0, kind_of(element, marks), False, False)]
+    # Texts below LEVELS: the place of the element at that level, then the digest of the path from there.
+    deep: dict[int, dict[str, set[str]]] = {}
+    # ``anchor`` is the place of the ancestor at LEVELS, ``below`` the path from there as ``step`` writes it.
+    stack: list = [(element, 0, 0, kind_of(element, marks), False, False, 0, "")]
+    top = ("",) * LEVELS
     while stack:
-        element, parent, level, kind, outside, below = stack.pop()
+        element, parent, level, kind, outside, within, anchor, below = stack.pop()
+        place = len(found)
         texts = [c for c in element.children if isinstance(c, str)]
         own = " ".join(" ".join(texts).split()) if texts else ""
-        if own and not below:
+        if own and not within:
             words.append(own)
+        if own and level > LEVELS:
+            deep.setdefault(anchor, {}).setdefault(below, set()).add(constant(own))
+        if level == LEVELS:
+            anchor = place
         if len(texts) < len(element.children):
-            place = len(found)
             for child in reversed(element.children):
                 if not isinstance(child, str):
                     label = kind_of(child, marks)
                     out = is_outside(label, True)
-                    stack.append((child, place, level + 1, label, out, below or out))
+                    further = step((*top, below) if below else top, label)[LEVELS] if level >= LEVELS else ""
+                    stack.append((child, place, level + 1, label, out, within or out, anchor, further))
         found.append((element.name, parent, level, kind, outside, own))
     seen = [digest(" ".join(words))]
     items: list[list] = [[] for _ in found]
     sizes = [[0, 0] for _ in found]  # characters below and those of them in links
+    nodes = []
     for place in range(len(found) - 1, -1, -1):
         name, parent, level, kind, outside, own = found[place]
         chars, links = sizes[place]
-        deep = level == LEVELS and chars > 0
         chars += len(own)
         links = chars if name == "a" else links
         if place and not outside:
             sizes[parent][0] += chars
             sizes[parent][1] += links
         if level <= LEVELS:
-            text = True if deep else [own if len(own) <= CONSTANT else digest(own)] if own else None
-            node = Node(kind, fold(items[place][::-1]), 1, chars, links, text, seen if text else ())
+            texts = {path: [t, seen] for path, t in deep.get(place, {}).items()}
+            text = {constant(own)} if own else None
+            node = Node(kind, fold(items[place][::-1]), 1, chars, links, text, seen if text else (), texts)
             items[place] = []
             if not place:
-                return node
+                nodes.append(node)
+                break
             items[parent].append([node, False, False])
+    for node in nodes:  # which grows to all nodes of the folded page
+        nodes += [n for n, _, _ in node.items]
+        node.text = sorted(node.text) if node.text else None
+        node.deep = {path: [sorted(t), pages] for path, (t, pages) in node.deep.items()}
+    return nodes[0]
 
 
 @dataclass(frozen=True)
@@ -270,7 +318,7 @@ def agreed_blocks(wrapper: Node) -> set[tuple[str, ...]]:
 
     def walk(node: Node, path: tuple[str, ...]) -> tuple[bool, bool, bool]:
         """Whether all text is the template's, is on enough pages, and whether there are marked elements below."""
-        same, often, main = is_template(node), len(node.seen) >= TEMPLATE_PAGES, False
+        same, often, main = is_fixed(node), is_often(node), False
         for child, _, _ in node.items:
             below = walk(child, (*path, child.label))
             same, often, main = same and below[0], often or below[1], main or below[2] or traits(child.label).main
@@ -289,7 +337,7 @@ def frames(wrapper: Node) -> set[tuple[str, ...]]:
 
     def walk(node: Node, path: tuple[str, ...], inside: bool) -> tuple[bool, bool]:
         """Whether there is text of single pages outside of marked elements, and whether there are such elements."""
-        own, main = not is_template(node), False
+        own, main = not is_fixed(node), False
         for child, _, _ in node.items:
             here = (*path, child.label)
             if is_outside(child.label, inside, here in agreed):
@@ -305,18 +353,29 @@ def frames(wrapper: Node) -> set[tuple[str, ...]]:
     return found
 
 
-def is_template(node: Node) -> bool:
+def is_template(text: list | bool | None, seen: list) -> bool:
     """Whether the own text of an element, if it has any, is the same on enough pages that differ in other text."""
-    return node.text is None or (isinstance(node.text, list) and len(node.seen) >= TEMPLATE_PAGES)
+    return text is None or (text is not True and len(seen) >= TEMPLATE_PAGES)
+
+
+def is_fixed(node: Node) -> bool:
+    """Whether this holds for the element and for all that is below LEVELS."""
+    return is_template(node.text, node.seen) and all(is_template(*t) for t in node.deep.values())
+
+
+def is_often(node: Node) -> bool:
+    """Whether the element or one below LEVELS has text on enough pages."""
+    return any(len(seen) >= TEMPLATE_PAGES for seen in (node.seen, *(s for _, s in node.deep.values())))
 
 
 def template_texts(wrapper: Node) -> set[tuple[tuple[str, ...], str]]:
-    """(labels, text) of short texts that the pages of a host repeat and that differ in other text."""
+    """(path, constant) of the texts that the pages of a host repeat and that differ in other text."""
     found = set()
 
     def walk(node: Node, path: tuple[str, ...]) -> None:
-        if node.text and is_template(node):
-            found.update((path, text) for text in node.text if isinstance(text, str))
+        for here, (text, seen) in ((path, (node.text, node.seen)), *(((*path, p), t) for p, t in node.deep.items())):
+            if text and is_template(text, seen):
+                found.update((here, t) for t in text)
         for child, _, _ in node.items:
             walk(child, (*path, child.label))
 
@@ -324,14 +383,51 @@ def template_texts(wrapper: Node) -> set[tuple[tuple[str, ...], str]]:
     return found
 
 
+def link_lists(wrapper: Node) -> set[tuple[str, ...]]:
+    """Paths of blocks whose text on the host's pages is a repeated group of links, with little text beside these.
+
+    Those are the innermost such blocks and the ones around them that add only
+    text of the template. No element that holds a marked one is among them, nor is
+    the body.
+    """
+    found: set[tuple[str, ...]] = set()
+
+    def walk(node: Node, path: tuple[str, ...]) -> tuple[bool, bool, bool, bool, bool]:
+        """Whether a repeated element holds links, text is on enough pages, there are marked elements, all text beside links is the template's, there is a list."""
+        name = traits(node.label).name
+        group, often, main, fixed, listed = False, is_often(node), False, name == "a" or is_fixed(node), False
+        for child, _, repeated in node.items:
+            below = walk(child, (*path, child.label))
+            group = group or below[0] or (repeated and child.links > 0)
+            often, main = often or below[1], main or below[2] or traits(child.label).main
+            fixed, listed = fixed and (below[3] or name == "a"), listed or below[4]
+        block = (name in BLOCK or name == "x") and name not in ("html", "body")
+        if block and group and often and not main and node.links >= LINK_SHARE * node.chars and (fixed or not listed):
+            found.add(path)
+            listed = True
+        return group, often, main, fixed, listed
+
+    walk(wrapper, ())
+    return found
+
+
+def settled(node: Node) -> Node:
+    """The last wrapper of a host, of whose constants only those of the template are kept."""
+    lost = [p for p, t in node.deep.items() if not is_template(*t)]
+    deep = {p: t for p, t in node.deep.items() if is_template(*t)} | ({"": [True, []]} if lost else {})
+    text = node.text if is_template(node.text, node.seen) else True
+    items = [[settled(n), o, r] for n, o, r in node.items]
+    return Node(node.label, items, node.pages, node.chars, node.links, text, node.seen, deep)
+
+
 class Extractor:
     """Article text of pages by the wrapper of their host.
 
     The regions of a page are its outermost marked elements outside menus and the
     like, but the inner ones of a frame that adds only text of the template. A page
-    without text in one falls back to its body less the excluded parts
-    and the template's own texts, or to the marked elements inside an excluded
-    block where these hold more.
+    without text in one falls back to its body less the excluded parts, lists of
+    links and the template's own texts (with the lists where nothing else is left),
+    or to the marked elements inside an excluded block where these hold more.
     """
 
     def __init__(self, packed: str, marks: Iterable[str] | None = None):
@@ -340,13 +436,14 @@ class Extractor:
         self.template = template_texts(self.wrapper)
         self.agreed = agreed_blocks(self.wrapper)
         self.frames = frames(self.wrapper)
+        self.lists = link_lists(self.wrapper)
 
     def text(self, page: str | None) -> str:
         root = parse(page)
         for within in (True, False):
             if found := self._joined(self._regions(root, within)):
                 return found
-        body = self._text(root, (), False)
+        body = self._text(root, (), False, self.lists) or self._text(root, (), False)
         held = self._joined(self._regions(root, False, held=True))
         return held if len(held) > len(body) else body
 
@@ -364,12 +461,13 @@ class Extractor:
             for child in reversed(element.children):
                 if not isinstance(child, str):
                     label = kind_of(child, self.marks)
-                    if not is_outside(label, False, (*path[:LEVELS], label) in self.agreed) or (held and (child.name == "form" or child.name not in OUTSIDE)):
-                        stack.append((child, (*path[:LEVELS], label)))
+                    here = step(path, label)
+                    if not is_outside(label, False, here in self.agreed) or (held and (child.name == "form" or child.name not in OUTSIDE)):
+                        stack.append((child, here))
         return out
 
-    def _text(self, element: Element, path: tuple[str, ...], article: bool) -> str:
-        """Text below an element; outside of articles without the texts of the template."""
+    def _text(self, element: Element, path: tuple[str, ...], article: bool, without: Iterable[tuple[str, ...]] = ()) -> str:
+        """Text below an element, less that at the paths ``without``; outside of articles without the texts of the template."""
         out: list[str] = []
         stack: list = [(element, path)]
         while stack:
@@ -379,14 +477,14 @@ class Extractor:
                 continue
             element, path = item
             own = "" if article else " ".join(" ".join(c for c in element.children if isinstance(c, str)).split())
-            mine = not own or (path, own) not in self.template
+            mine = not own or (path[: LEVELS + 1], constant(own)) not in self.template
             todo: list = []
             for child in element.children:
                 if isinstance(child, str):
                     todo.append(child if mine else " ")
                     continue
-                here = (*path[:LEVELS], kind_of(child, self.marks))
-                inner = [] if is_outside(here[-1], article, here in self.agreed) else [(child, here)]
+                here = step(path, kind_of(child, self.marks))
+                inner = [] if here in without or is_outside(here[-1], article, here in self.agreed) else [(child, here)]
                 todo += [" ", *inner, " "] if child.name in BLOCK else inner
             stack.extend(reversed(todo))
         return " ".join("".join(out).split())
@@ -397,12 +495,12 @@ def host_of(url: Column) -> Column:
     return F.lower(F.coalesce(F.regexp_extract(url, "^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1), F.lit("")))
 
 
-def _merged(wrappers: Iterator[str]) -> str:
+def _merged(wrappers: Iterator[str], last: bool = False) -> str:
     total = None
     for packed in wrappers:
         node = Node.unpacked(json.loads(packed))
         total = node if total is None else merge(total, node)
-    return json.dumps(total.packed(), ensure_ascii=False)
+    return json.dumps((settled(total) if last else total).packed(), ensure_ascii=False)
 
 
 def common_marks(pages: DataFrame) -> DataFrame:
@@ -444,7 +542,8 @@ def infer_wrappers(pages: DataFrame) -> DataFrame:
         yield pd.DataFrame(rows, columns=["host", "wrapper"])
 
     def together(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"host": [key[0]], "wrapper": [_merged(sorted(rows["wrapper"]))]})
+        last = len(key) == 1
+        return pd.DataFrame({"host": [key[0]], "wrapper": [_merged(sorted(rows["wrapper"]), last)]})
 
     found = pages.mapInPandas(partial, "host string, wrapper string")
     found = found.withColumn("part", F.pmod(F.xxhash64("wrapper"), F.lit(PARTS)))
@@ -464,8 +563,8 @@ def main_text(df: DataFrame, key: str = "page_id", url: str = "url", page: str =
 
     A null or empty page gives an empty text; null URLs and those without a host
     share one wrapper; broken markup is read as far as it goes, at any depth; null and
-    repeated keys and repeated rows are each extracted; an empty table gives no
-    rows; other columns play no part, whatever their names.
+    repeated keys and repeated rows are each extracted; very long pages are read whole;
+    an empty table gives no rows; other columns play no part, whatever their names.
     """
     scratch = Scratch(df.sparkSession, "wrappers")
     rows = df.select(
@@ -477,13 +576,10 @@ def main_text(df: DataFrame, key: str = "page_id", url: str = "url", page: str =
     wrappers = scratch.table(wrappers.join(marks, "host"), "hosts")
 
     def extracted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known: tuple[str, Extractor] | None = None
+        known = lru_cache(maxsize=EXTRACTORS)(Extractor)  # the hosts of a partition may come in any order
         for batch in batches:
-            texts = []
-            for packed, marks, html in zip(batch["wrapper"], batch["marks"], batch["html"]):
-                if known is None or known[0] != packed:
-                    known = (packed, Extractor(packed, marks))
-                texts.append(known[1].text(html))
+            rows = zip(batch["wrapper"], batch["marks"], batch["html"])
+            texts = [known(packed, tuple(marks)).text(html) for packed, marks, html in rows]
             yield pd.DataFrame({"id": batch["id"], "url": batch["url"], "text": texts, "n_chars": [len(t) for t in texts]})
 
     schema = T.StructType(

@@ -212,3 +212,61 @@ def test_many_nested_groups():
     names = [f"zz{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(600)]
     page = "".join(f"<{n}>x</{n}>" for n in [*names, *names[::-1]])
     assert by_wrapper([page] * 2) == ["x" * 1200] * 2
+
+
+def on_host(bodies):
+    """Texts of the pages of one host by its last wrapper."""
+    import json
+
+    packed = _merged((json.dumps(node(b).packed()) for b in bodies), last=True)
+    return [Extractor(packed).text(b) for b in bodies]
+
+
+STORY = "<p>story {0} of the day</p><p>more {0}</p>"
+
+
+@pytest.mark.parametrize(
+    "noise",
+    [
+        "<div>" + "Copyright of the publisher and its partners in all countries. " * 3 + "</div>",
+        "<div>" + "".join(f"<div><a href=/{i}>Menu {i}</a></div>" for i in range(20)) + "</div>",
+        "<div>" + "".join(f"<div><a href=/{i}>Menu {i}</a></div>" for i in range(400)) + "</div>",
+        "<div>" * 20 + "Home" + "</div>" * 20,
+        "<div>" * 60 + "Home" + "</div>" * 60,
+        "<div>" * 60 + "Home<b>page</b>" + "</div>" * 60,
+        "<span>" * 500 + "Home" + "</span>" * 500,
+        "<div>Related stories<ul>" + "".join(f"<li><a href=/{i}>A further story {i} after {{0}}</a></li>" for i in range(9)) + "</ul></div>",
+    ],
+    ids=["long", "menu 20", "menu 400", "deep 20", "deep 60", "deep mixed", "deep 500", "related"],
+)
+def test_template_of_any_size_goes(noise):
+    words = [f"w{chr(97 + i)}" for i in range(10)]
+    expected = [f"story {w} of the day more {w}" for w in words]
+    for page in (noise + "<div>" + STORY + "</div>", "<div>" + STORY + "</div>" + noise):
+        assert on_host([page.format(w) for w in words]) == expected
+    assert by_wrapper([(noise + STORY).format(w) for w in words]) == expected
+
+
+def test_deep_text_that_differs_stays():
+    pages = ["<div>" * 60 + f"<p>text {w}</p>" + "same" + "</div>" * 60 for w in "abcd"]
+    assert on_host(pages) == [f"text {w}" for w in "abcd"]
+    links = "<div><ul><li><a href=/1>one {0}</a><li><a href=/2>two {0}</a></ul></div>"
+    assert on_host([links.format(w) for w in "abcd"]) == [f"one {w} two {w}" for w in "abcd"]
+
+
+def test_order_of_blocks_does_not_make_a_template():
+    """Blocks that pages order differently are those of two pages, not the repeated ones of one."""
+    head, body = "<h1>Title {0}</h1>", "<pre>text {0}</pre>"
+    pages = [(head + body).format("same")] * 3 + [(body + head).format(w) for w in "abcdef"]
+    pages = [p + f"<p>page {chr(65 + i)}</p>" for i, p in enumerate(pages)]
+    plain = [" ".join(re.sub("<[^>]*>", " ", p).split()) for p in pages]
+    assert on_host(pages) == plain and on_host(pages[::-1]) == plain[::-1]
+
+
+def test_depth_of_groups_changes_no_text(monkeypatch):
+    rng = random.Random(5)
+    parts = ["<p>a</p>", "<ul><li>x<li>y{0}</ul>", "<b>z</b>", "<div class=c>q</div>", "<h2>t{0}</h2>", "<pre>Home</pre>"]
+    pages = ["".join(rng.choice(parts) for _ in range(rng.randrange(30))).format(i) for i in range(20)]
+    found = on_host(pages)
+    monkeypatch.setattr("lumiframe.llm.wrappers.NESTED", 1)
+    assert on_host(pages) == found
