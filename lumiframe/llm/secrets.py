@@ -18,6 +18,10 @@ from .scratch import Scratch
 KINDS = ("assign", "access", "hex", "opaque")
 #: A value that so many owners hold is an example that was copied around.
 EXAMPLE_OWNERS = 3
+#: So is one that so many repositories hold, even those of one owner.
+EXAMPLE_REPOSITORIES = 8
+#: A live value is in so many repositories of its owner at most.
+LIVE_REPOSITORIES = 3
 #: Bits a character of a live-looking value at least.
 LIVE_BITS = 3.0
 
@@ -102,17 +106,23 @@ def scan(df: DataFrame, key: str, text: str, owner: Column, repository: Column)
 def ownership(candidates: DataFrame) -> DataFrame:
     """(value, owners, repositories, verdict) of each candidate hash.
 
-    Rows of one (value, repository, owner) collapse before and after the shuffle,
-    so a value copied into a third of all documents is a few rows.
+    Owners and repositories are each counted once. ``EXAMPLE_OWNERS`` or
+    ``EXAMPLE_REPOSITORIES`` make a value an example; one owner with
+    ``LIVE_REPOSITORIES`` at most makes it live where it looks random; what lies
+    between, such as a value that its owner has put everywhere, is unclear. Rows of
+    one (value, repository, owner) collapse before and after the shuffle, so a
+    value copied into a third of all documents is a few rows.
     """
     seen = candidates.groupBy("value", "repository", "owner").agg(F.bool_or("live").alias("live"))
     counted = seen.groupBy("value").agg(
         F.count_distinct(F.coalesce("owner", F.lit(""))).alias("owners"),
-        F.count(F.lit(1)).alias("repositories"),
+        F.count_distinct(F.coalesce("repository", F.lit(""))).alias("repositories"),
         F.bool_or("live").alias("live"),
     )
-    verdict = F.when(F.col("owners") >= EXAMPLE_OWNERS, "example").when(
-        (F.col("owners") == 1) & F.col("live"), "live"
+    owners, repositories = F.col("owners"), F.col("repositories")
+    example = (owners >= EXAMPLE_OWNERS) | (repositories >= EXAMPLE_REPOSITORIES)
+    verdict = F.when(example, "example").when(
+        (owners == 1) & (repositories <= LIVE_REPOSITORIES) & F.col("live"), "live"
     )
     return counted.withColumn("verdict", verdict.otherwise("unclear"))
 
@@ -158,14 +168,16 @@ def secrets(
     """Per row of ``df``: key, n_assign, n_access, n_hex, base_sha256, spans, n_example, n_live.
 
     Every base span stays. A value is an example when ``EXAMPLE_OWNERS`` owners or
-    more hold it anywhere in the corpus, and live when it looks random and one
-    owner alone holds it, in however many repositories and documents. Opaque runs
-    are added to the spans where they are live. A span is the whole match in code
-    points, end exclusive.
+    ``EXAMPLE_REPOSITORIES`` repositories or more hold it anywhere in the corpus,
+    and live when it looks random and one owner alone holds it, in
+    ``LIVE_REPOSITORIES`` repositories at most and however many documents. Opaque
+    runs are added to the spans where they are live. A span is the whole match in
+    code points, end exclusive.
 
     The owner is the column ``source`` and the repository source and language,
-    unless given. A null owner is an owner without a name. Null and empty texts
-    have no spans; null and repeated keys and repeated rows are each scanned; an
+    unless given. A null owner or repository is one without a name. Null and empty
+    texts have no spans and very long ones are scanned whole, a match as long as it
+    is; null and repeated keys and repeated rows are each scanned; an
     empty table gives no rows; other columns play no part, whatever their names.
     """
     owner, repository = _places(owner, repository)

@@ -75,3 +75,51 @@ def test_rows(spark):
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id bigint, text string, source string, lang string")
     assert secrets(df).collect() == [] and secret_findings(df).collect() == []
+
+
+def test_verdicts_by_counting(spark):
+    """Owners and repositories of every value counted by hand, and the verdicts that follow."""
+    draw = random.Random(11)
+    letters = "abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789"
+    values = ["".join(draw.choice(letters) for _ in range(24)) + "aB7" for _ in range(60)] + ["z" * 16]
+    rows, holders = [], defaultdict(set)
+    for n, value in enumerate(values):
+        owners = [f"o{n}-{i}" for i in range(n % 5 + 1)]
+        for _ in range(draw.randrange(1, 25)):
+            owner = draw.choice([*owners, owners[0], None] if n % 7 == 0 else owners)
+            repository = draw.choice([f"{owner}/r{i}" for i in range(n % 11 + 1)] + [None] * (n % 13 == 0))
+            holders[value].add((owner, repository))
+            rows.append((len(rows), f"password={value}" if n % 2 or n == 60 else f"see {value} here", owner, repository))
+    hot = values[0]  # in a third of all rows
+    rows += [(len(rows) + i, f"see {hot} here", "o0-0", "o0-0/r0") for i in range(len(rows) // 2)]
+    holders[hot].add(("o0-0", "o0-0/r0"))
+    draw.shuffle(rows)
+    df = spark.createDataFrame(rows, "id long, body string, who string, place string").repartition(7)
+    from pyspark.sql import functions as F
+
+    found = secret_findings(df, "id", "body", F.col("who"), F.col("place")).collect()
+    assert len(found) == len(rows)
+    by_value = {hashlib.sha256(v.encode()).hexdigest(): v for v in values}
+    verdicts = set()
+    for r in found:
+        value = by_value[r.value_sha256]
+        owners, places = {o or "" for o, _ in holders[value]}, {p or "" for _, p in holders[value]}
+        if len(owners) >= 3 or len(places) >= 8:
+            verdict = "example"
+        else:
+            verdict = "live" if len(owners) == 1 and len(places) <= 3 and value != values[-1] else "unclear"
+        assert (r.owners, r.repositories, r.verdict) == (len(owners), len(places), verdict)
+        verdicts.add((verdict, len(owners) == 1, len(places) > 3))
+    assert {("live", True, False), ("unclear", True, True), ("example", True, True), ("example", False, True)} <= verdicts
+    spans = {r.id: (r.spans, r.n_live, r.n_example) for r in secrets(df, "id", "body", F.col("who"), F.col("place")).collect()}
+    for r in found:
+        expected = r.span if r.kind != "opaque" or r.verdict == "live" else ""
+        assert spans[r.id] == (expected, int(r.verdict == "live"), int(r.verdict == "example"))
+
+
+def test_very_long_text(spark):
+    value = "q8Zr7TmW2vKx9LpB4nYc"
+    text = "a word " * 300000 + f"token={'x1' * 200000} {value} end"
+    [row] = secrets(spark.createDataFrame([(1, text, "o", "en")], "doc_id long, text string, source string, lang string")).collect()
+    at = 7 * 300000
+    assert row.spans.split(",") == [f"assign:{at}:{at + 400006}", f"opaque:{at + 400007}:{at + 400027}"] and row.n_live == 1
