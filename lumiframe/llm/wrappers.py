@@ -187,10 +187,12 @@ def merge(one: Node, other: Node, within_page: bool = False) -> Node:
 
 def kind_of(element: Element, marks: frozenset | None) -> str:
     """Label by which an element is aligned: its name and those marks that are common on the host or have a meaning."""
-    if marks is None:
-        return element.label
-    name = element.name if element.name in KNOWN else "x"
-    return " ".join([name, *(m for m in element.marks if m in marks or m in MAIN_MARKS or m in NOISE)])
+    return element.label if marks is None else _kind(element.name, element.marks, marks)
+
+
+@lru_cache(maxsize=65536)
+def _kind(name: str, own: tuple[str, ...], marks: frozenset) -> str:
+    return " ".join([name if name in KNOWN else "x", *(m for m in own if m in marks or m in MAIN_MARKS or m in NOISE)])
 
 
 def digest(text: str) -> int:
@@ -368,14 +370,14 @@ def is_often(node: Node) -> bool:
     return any(len(seen) >= TEMPLATE_PAGES for seen in (node.seen, *(s for _, s in node.deep.values())))
 
 
-def template_texts(wrapper: Node) -> set[tuple[tuple[str, ...], str]]:
-    """(path, constant) of the texts that the pages of a host repeat and that differ in other text."""
-    found = set()
+def template_texts(wrapper: Node) -> dict[tuple[str, ...], set[str]]:
+    """By path the constants that the pages of a host repeat and that differ in other text."""
+    found = {}
 
     def walk(node: Node, path: tuple[str, ...]) -> None:
         for here, (text, seen) in ((path, (node.text, node.seen)), *(((*path, p), t) for p, t in node.deep.items())):
             if text and is_template(text, seen):
-                found.update((here, t) for t in text)
+                found[here] = set(text)
         for child, _, _ in node.items:
             walk(child, (*path, child.label))
 
@@ -476,8 +478,8 @@ class Extractor:
                 out.append(item)
                 continue
             element, path = item
-            own = "" if article else " ".join(" ".join(c for c in element.children if isinstance(c, str)).split())
-            mine = not own or (path[: LEVELS + 1], constant(own)) not in self.template
+            known = None if article else self.template.get(path[: LEVELS + 1])
+            mine = not known or constant(" ".join(" ".join(c for c in element.children if isinstance(c, str)).split())) not in known
             todo: list = []
             for child in element.children:
                 if isinstance(child, str):
