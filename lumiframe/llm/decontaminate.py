@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .memory import give_back
+
 SHINGLE, SIMILARITY = 5, 0.8
 #: Bits in which a window's fingerprint may differ from an item's. Texts of a few dozen shingles at the least similarity
 #: differ in about ten of 64 bits, with a spread of three; ``tests/llm`` measure the recall. Of four blocks one then
@@ -292,5 +294,6 @@ def _flag(block: list[tuple]):
         index = Benchmark(block)
         for batch in batches:
             yield pd.Series([bool(index.find(t)) for t in batch], dtype=bool)
+        give_back()
 
     return found

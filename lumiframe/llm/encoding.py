@@ -12,6 +12,8 @@ import numpy as np
 from tokenizers import Tokenizer
 from tokenizers.pre_tokenizers import ByteLevel
 
+from .memory import give_back
+
 #: Bytes of pieces that a Python worker remembers, and those that a piece takes beside its letters. A full cache keeps
 #: its older half, as frequent pieces come early.
 WORD_BYTES, WORD_COST = 96 << 20, 190
@@ -114,6 +116,7 @@ class Encoder:
         """Forget what goes beyond ``KEPT_BYTES``: a worker lives on, and other stages need its memory."""
         if self.held > KEPT_BYTES:
             self._keep(len(self.words) * KEPT_BYTES // self.held)
+        give_back()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.by_pieces:

@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .memory import give_back
 from .samples import distinct_texts, drawn, held_out, label_of, texts_of
 
 #: Bounds of the fitting sample: distinct texts that are confirmed toxic, and texts drawn whatever their label.
@@ -230,8 +231,10 @@ def keep_clean(
     model = train(docs.where(inside), label_of(labels, key, label).where(inside), **bounds)
 
     @F.pandas_udf("double")
-    def score(batch: pd.Series) -> pd.Series:
-        return pd.Series(model.score(batch.fillna("").tolist()))
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            yield pd.Series(model.score(batch.fillna("").tolist()))
+        give_back()
 
     return df.where(score(F.col(text)) < threshold)
 
