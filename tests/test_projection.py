@@ -1,5 +1,7 @@
 """Scaling, partial least squares, neighbours, oversampling and back-projection."""
 
+import decimal
+
 import numpy as np
 import pytest
 from pyspark.ml import PipelineModel
@@ -7,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lumiframe.operators.backproject import back_project, band_series
 from lumiframe.operators.neighbours import nearest_in_class
-from lumiframe.operators.pls import PLS
+from lumiframe.operators.pls import PLS, components
 from lumiframe.operators.scale import PopulationScaler, column_statistics
 from lumiframe.operators.smote import lerp, smote, synthetic_rows
 from lumiframe.plans.prepare import Preparation, prepare
@@ -89,6 +91,28 @@ def test_one_response_a_class(spark, sample, max_gram):
     assert not np.allclose(*single, atol=1e-3)
 
 
+def test_pls_of_many_independent_rows():
+    """X'X close to a multiple of 1, as it is of many rows: X'y shrinks 50 times and more with each component."""
+    rng = np.random.default_rng(5)
+    p, k = 24, 10
+    turn = np.linalg.qr(rng.normal(size=(p, p)))[0]
+    gram = turn @ np.diag(1 + 0.01 * np.linspace(-1, 1, p)) @ turn.T
+    s = turn @ rng.uniform(0.5, 1, p)
+    weights, rotations = components(s, lambda v: gram @ v, k)
+    # The same basis in numbers of 80 digits.
+    with decimal.localcontext(prec=80):
+        exact, g, basis = (np.vectorize(decimal.Decimal, otypes=[object])(x) for x in (s, gram, np.empty((0, p))))
+        for _ in range(k):
+            exact = exact - basis.T @ (basis @ exact)
+            basis = np.vstack([basis, exact / (exact @ exact).sqrt()])
+            exact = g @ basis[-1]
+    found = basis.astype(float).T
+    found *= np.sign(found[np.abs(found).argmax(0), range(k)])
+    assert np.allclose(weights, found, atol=1e-9)
+    scores = rotations.T @ gram @ rotations
+    assert np.allclose(scores, np.diag(scores.diagonal()), atol=1e-9)
+
+
 def test_pls_errors(spark, sample):
     x, y = sample
     with pytest.raises(ValueError, match="used up"):
