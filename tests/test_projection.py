@@ -8,7 +8,7 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
 from lumiframe.operators.backproject import back_project, band_series
-from lumiframe.operators.neighbours import nearest_in_class
+from lumiframe.operators.neighbours import _closest, _Pivots, _Points, _together, nearest_in_class, squared_distances
 from lumiframe.operators.pls import PLS, components
 from lumiframe.operators.scale import PopulationScaler, column_statistics
 from lumiframe.operators.smote import lerp, smote, synthetic_rows
@@ -164,6 +164,54 @@ def test_neighbours_equal_brute_force(spark, layout):
     assert found_neighbours(df, 5, **layout) == brute(points, 5)
 
 
+@pytest.mark.parametrize("width, far", [(2, 0.0), (12, 1e6)])
+def test_neighbours_of_many_small_tiles(spark, width, far):
+    """Few rows a tile, points far from the origin: every base goes to several tiles, a visited tile is copied."""
+    rng = np.random.default_rng(6)
+    x = np.round(rng.normal(size=(300, width)), 1) + far
+    points = [(i, int(i % 3 == 0), row.tolist()) for i, row in enumerate(x)]
+    df = spark.createDataFrame(points, "id long, code int, spectrum array<double>").repartition(4)
+    assert found_neighbours(df, 5, cell_rows=12, block_rows=8, tile_rows=20) == brute(points, 5)
+
+
+def test_tasks_of_the_neighbour_search_are_bounded():
+    """Tiles hold a bounded number of rows whatever the cells, and a base is listed once a tile and not once a block."""
+    rng = np.random.default_rng(8)
+    pivots = _Pivots({0: rng.normal(size=(100, 4))})
+    sizes = rng.integers(1, 60, 100)
+    table = pivots.describe([(0, c, int(n), 9.0) for c, n in enumerate(sizes)], 25, 500)
+    assert sum(n for _, _, _, n, _ in table) == sizes.sum() and {blocks for _, _, blocks, _, _ in table} == {1, 2, 3}
+    assert len(pivots.cells[0]) == -(-sizes.sum() // 500)
+    assert max(sizes[held].sum() for _, held in pivots.cells[0]) <= 500 + 2 * 60
+    bases = rng.normal(size=(40, 4))
+    lists = [len(reach) for _, _, reach in pivots.visits(0, bases, np.full(40, np.inf), 6)]
+    assert sum(lists) == 40
+
+
+def test_bases_that_visit_much_the_same_cells_go_together():
+    rows, cell = np.array([10, 10, 10, 10]), np.array([5, 5, 7, 7, 7, 8])
+    full = np.ones((6, 4), dtype=bool)
+    assert [s for s, _ in _together(full, rows, cell)] == [slice(0, 6)]
+    apart = np.array([[1, 0, 0, 0]] * 2 + [[0, 1, 0, 0], [0, 1, 1, 0], [0, 0, 1, 0]] + [[0, 0, 0, 1]], dtype=bool)
+    found = [(s, u.tolist()) for s, u in _together(apart, rows, cell)]
+    assert [s for s, _ in found] == [slice(0, 2), slice(2, 5), slice(5, 6)] and found[1][1] == [False, True, True, False]
+
+
+def test_closest_equals_all_distances():
+    rng = np.random.default_rng(9)
+    for scale, shift in ((1.0, 0.0), (1e-3, 1e5), (1e160, 0.0)):
+        a, b = (np.round(rng.normal(size=(n, 3)), 2) * scale + shift for n in (70, 400))
+        with np.errstate(over="ignore"):
+            d2 = squared_distances(a, b)
+            found = _closest(a, b, 4)
+            assert all(np.array_equal(x, y) for x, y in zip(found, _closest(a, _Points(b, b[0]), 4)))
+        expected = np.argsort(d2, axis=1, kind="stable")[:, :4]
+        assert (found[1].reshape(-1, 4) == expected).all() and (found[2].reshape(-1, 4) == np.take_along_axis(d2, expected, 1)).all()
+        limit = np.sort(d2, axis=1)[:, 1]
+        base, near, _ = _closest(a, b, 4, limit)
+        assert set(zip(*np.nonzero(d2 <= limit[:, None]))) & set(zip(np.repeat(np.arange(70), 4), expected.ravel())) <= set(zip(base, near))
+
+
 def test_neighbours_of_chosen_bases_with_text_keys(spark):
     rng = np.random.default_rng(2)
     points = [(f"k{i:03d}", 0, [float(v) for v in rng.normal(size=4)]) for i in range(150)]
