@@ -12,6 +12,8 @@ from lumiframe.operators import results as res
 from lumiframe.operators.metrics import metrics
 from lumiframe.operators.select import valid_rows
 from lumiframe.operators.split import stratified_split
+from lumiframe.plans import search as search_module
+from lumiframe.plans.search import permuted_rows
 
 QUERIES, _ = all_queries()
 
@@ -79,3 +81,23 @@ def test_metrics_count_before_the_shuffle(spark, data):
 def test_projection_runs_once(spark, data):
     assert plan(QUERIES["pls_scores"](spark, data)).count("ArrowEvalPython [") <= 1
     assert "size(zip_with" not in plan(QUERIES["scale_spectra"](spark, data))
+
+
+def test_rows_of_a_permutation_move_once(spark, monkeypatch):
+    """Many parts, text keys, a key that repeats and a null one: the numbers of both orders, matched by SQL, in one shuffle of the rows."""
+    monkeypatch.setattr(search_module, "PERMUTED_ROWS", 7)
+    rows = [(f"k{i}", i % 2, [float(i)]) for i in range(200)] + [("k3", 1, [-3.0]), (None, 0, [9.0])]
+    df = spark.createDataFrame(rows, "id string, code int, own array<double>").repartition(3)
+    found = permuted_rows(df, "id", "own", 2, 52)
+    df.createOrReplaceTempView("permuted_in")
+    h = "conv(substring(md5(concat_ws(':', {})), 1, 8), 16, 10)"
+    expected = spark.sql(
+        f"""WITH a AS (SELECT id, row_number() OVER (ORDER BY CAST({h.format("'52', 'own', id")} AS LONG), id) AS no FROM permuted_in),
+d AS (SELECT id AS donor_id, r AS repeat, row_number() OVER (PARTITION BY r ORDER BY CAST({h.format("'52', CAST(r AS STRING), id")} AS LONG), id) AS no
+      FROM permuted_in, (SELECT explode(array(0, 1)) AS r))
+SELECT a.id, repeat, v.own AS donor, o.code, o.own FROM a JOIN d USING (no) JOIN permuted_in v ON v.id = donor_id JOIN permuted_in o ON o.id = a.id"""
+    )
+    assert found.columns == expected.columns
+    assert sorted(map(repr, found.collect())) == sorted(map(repr, expected.collect()))
+    final = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert final.count("Exchange hashpartitioning") == 1
