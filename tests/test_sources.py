@@ -13,7 +13,7 @@ from lumiframe.operators.settings import display_names, expand_settings, pending
 from lumiframe.plans.experiment import LOG_SCHEMA
 from lumiframe.sources import sinks
 from lumiframe.sources.importance import read_importance_files
-from lumiframe.sources.runs import append_rows, read_run_store, read_split_json
+from lumiframe.sources.runs import _one_value, append_rows, read_run_store, read_split_json
 from lumiframe.sources.settings import read_settings
 from lumiframe.sources.wide import pack, read_for_scoring, read_wide, unpack
 
@@ -212,6 +212,33 @@ def test_named_files_are_replaced(spark, tmp_path):
         sinks.save_named(df.withColumn("path", F.lit(None).cast("string")), str(tmp_path))
 
 
+def most_tasks(spark, group, run):
+    """Tasks of the largest stage that ``run`` starts."""
+    context = spark.sparkContext
+    context.setJobGroup(group, group)
+    try:
+        run()
+        seen = context.statusTracker()
+        stages = [seen.getStageInfo(s) for j in seen.getJobIdsForGroup(group) for s in seen.getJobInfo(j).stageIds]
+        return max(s.numTasks for s in stages if s)
+    finally:
+        for name in ("spark.jobGroup.id", "spark.job.description"):
+            context.setLocalProperty(name, None)
+
+
+def test_many_files_of_one_partition_are_dealt_out_and_listed_in_batches(spark, tmp_path):
+    cores = spark.sparkContext.defaultParallelism
+    runs = F.concat(F.lit("r"), "id", F.lit("/params/nation")).alias("path")
+    df = spark.range(0, 5 * cores, 1, 1).select(runs, F.col("id").cast("string").alias("text"))
+    assert most_tasks(spark, "written", lambda: sinks.save_named(df, str(tmp_path))) == 2 * cores
+    name = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before = spark.conf.get(name, None)
+    found = []
+    assert most_tasks(spark, "listed", lambda: found.append(_one_value(spark, str(tmp_path), "params"))) == 4 * cores
+    assert spark.conf.get(name, None) == before
+    assert {(r["run_id"], r["value"]) for r in found[0].collect()} == {(f"r{i}", str(i)) for i in range(5 * cores)}
+
+
 def test_results_by_target(spark, tmp_path):
     df = spark.createDataFrame([("x", 1.0), ("y", 2.0)], "target_variable string, Accuracy double")
     sinks.save_results({"results_summary": df}, str(tmp_path), "json")
