@@ -11,7 +11,7 @@ from lumiframe.operators.backproject import back_project, band_series
 from lumiframe.operators.neighbours import _closest, _Pivots, _Points, _together, nearest_in_class, squared_distances
 from lumiframe.operators.pls import PLS, components
 from lumiframe.operators.scale import PopulationScaler, column_statistics
-from lumiframe.operators.smote import lerp, smote, synthetic_rows
+from lumiframe.operators.smote import draws, lerp, smote, synthetic_rows
 from lumiframe.plans.prepare import Preparation, prepare
 
 
@@ -286,3 +286,11 @@ def test_prepare_and_stored_chain(spark, sample, tmp_path):
     row = unscaled.train.where("id = '0'").union(unscaled.test.where("id = '0'")).head()
     assert list(row["features"]) == pytest.approx(list(sample[0][0]))
     assert df.where(F.size("spectrum") != 12).count() == 0
+
+
+def test_draws_of_a_large_class_are_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr("lumiframe.operators.smote.DRAWS", 10)
+    df = spark.range(120).select("id", (F.col("id") < 10).cast("int").alias("code"))
+    drawn = draws(df, "code", 5, 52)
+    assert drawn.rdd.getNumPartitions() == 10
+    assert sorted((r["code"], r["j"]) for r in drawn.collect()) == [(1, j) for j in range(100)]
