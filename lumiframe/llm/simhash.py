@@ -179,11 +179,13 @@ def links(prints: DataFrame, max_bits: int) -> DataFrame:
     counts = rows.groupBy("start", "key").agg(F.count(F.lit(1)).alias("n"), F.bool_and("probe").alias("idle"))
     counts = counts.where("n > 1 and not idle")
     # Only buckets with a partner come back; a large one is cut into parts, each pair of parts a bucket of its own.
+    # Spark sizes the keys by the table they were made from, a small part of them, and would send all buckets through
+    # the driver; adaptive execution keeps such a join, as another one has more shuffles.
     parts = F.ceil(F.col("n") / BUCKET_ROWS).cast("int")
     own = F.pmod(F.xxhash64("fingerprint", "probe"), F.col("parts")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
     shared = (
-        rows.join(counts.select("start", "key", parts.alias("parts")), ["start", "key"])
+        rows.join(counts.select("start", "key", parts.alias("parts")).hint("merge"), ["start", "key"])
         .withColumn("own", own)
         .withColumn("other", other)
         .withColumn("a", F.least("own", "other"))

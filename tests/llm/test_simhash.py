@@ -6,8 +6,9 @@ import re
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
-from lumiframe.llm.simhash import bucket_stars, chain_keys, fingerprint, simhash_components
+from lumiframe.llm.simhash import bucket_stars, chain_keys, fingerprint, links, simhash_components
 
 
 def plain_fingerprint(text, k=3):
@@ -88,3 +89,12 @@ def test_large_bucket_in_parts(spark, monkeypatch):
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
     found = sorted((str(a), b, str(c)) for a, b, c in simhash_components(df).collect())
     assert found == plain_components(rows)
+
+
+def test_buckets_are_not_sent_through_the_driver(spark, tmp_path):
+    """A few bytes a fingerprint become dozens of buckets each: their size as Spark guesses it says nothing."""
+    spark.range(2000).select(F.xxhash64("id").alias("fingerprint")).write.parquet(f"file://{tmp_path}/prints")
+    found = links(spark.read.parquet(f"file://{tmp_path}/prints"), 3)
+    assert found.collect() == []
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastExchange" not in plan
