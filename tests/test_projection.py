@@ -1,12 +1,14 @@
 """Scaling, partial least squares, neighbours, oversampling and back-projection."""
 
 import decimal
+import re
 
 import numpy as np
 import pytest
 from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
+from lumiframe.functions.sizes import cut_lineage
 from lumiframe.operators.backproject import back_project, band_series
 from lumiframe.operators.neighbours import _closest, _Pivots, _Points, _together, nearest_in_class, squared_distances
 from lumiframe.operators.pls import PLS, components
@@ -294,3 +296,21 @@ def test_draws_of_a_large_class_are_dealt_out(spark, monkeypatch):
     drawn = draws(df, "code", 5, 52)
     assert drawn.rdd.getNumPartitions() == 10
     assert sorted((r["code"], r["j"]) for r in drawn.collect()) == [(1, j) for j in range(100)]
+
+
+def test_draws_are_not_sent_through_the_driver(spark, tmp_path, monkeypatch):
+    """Two classes become thousands of draws: their size as Spark guesses it says nothing."""
+    path = f"file://{tmp_path}/points"
+    code = F.when(F.col("id") < 40, 0).otherwise(1).alias("code")
+    spark.range(4000).select("id", code, F.array(F.sqrt("id"), F.sin("id")).alias("spectrum")).write.parquet(path)
+    plans = []
+
+    def kept(df, *rest):
+        if "base_no" in df.columns:
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return cut_lineage(df, *rest)
+
+    monkeypatch.setattr("lumiframe.operators.smote.cut_lineage", kept)
+    made = synthetic_rows(spark.read.parquet(path), "id", "spectrum", "code", k=3)
+    assert made.count() == 3920 and made.where("neighbour >= 40").count() == 0
+    assert [re.findall(r"\w+Join", p)[0] for p in plans] == ["SortMergeJoin"]
